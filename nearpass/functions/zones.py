@@ -6,35 +6,29 @@ from pyspark.sql import Column, functions as F
 
 from ..settings import ENCOUNTER, TIERS, VOLUME, Encounter
 
-_INF = float("inf")
 
+def zone_span(rx: Column, ry: Column, vx: Column, vy: Column, dz: Column, vz: Column,
+              h_limit, v_limit, cfg: Encounter = ENCOUNTER) -> tuple[Column, Column]:
+    """Entry (not before 0) and exit second of the zone on an open-ended straight course.
 
-def _horizontal(rx, ry, vx, vy, limit, still):
-    """Open time interval with |r + v t| < limit, as (start, end) columns."""
-    a = vx * vx + vy * vy
-    half_b = rx * vx + ry * vy
-    c = rx * rx + ry * ry - limit * limit
-    disc = half_b * half_b - a * c
-    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    parked = a < still * still
-    inside = parked & (c < 0)
-    moving = ~parked & (disc > 0)
-    safe = F.when(moving, a)
-    return (
-        F.when(inside, -_INF).otherwise((-half_b - root) / safe),
-        F.when(inside, _INF).otherwise((-half_b + root) / safe),
-    )
-
-
-def _vertical(dz, vz, limit, still):
-    """Open time interval with |dz + vz t| < limit."""
-    level = F.abs(vz) < still
-    inside = level & (F.abs(dz) < limit)
-    rate = F.when(~level, vz)
-    t1, t2 = (-limit - dz) / rate, (limit - dz) / rate
+    Each axis is a centre and a half-width in time. A motion below the "still"
+    limit is replaced by that limit, which moves the bounds beyond any horizon
+    and so leaves "inside all the time" or "never inside". The half-width is
+    NaN for a miss, and no comparison with it holds.
+    """
+    a = F.greatest(vx * vx + vy * vy, F.lit(cfg.still * cfg.still))
+    b = rx * vx + ry * vy
+    h = _col(h_limit)
+    h_half = F.sqrt(b * b - a * (rx * rx + ry * ry - h * h)) / a
+    h_mid = -b / a
+    # a level pair drifts away from its present height difference, so the limit itself stays outside
+    drift = F.when(dz >= 0, cfg.still).otherwise(-cfg.still)
+    rate = F.when(F.abs(vz) < cfg.still, drift).otherwise(vz)
+    v_mid = -dz / rate
+    v_half = _col(v_limit) / F.abs(rate)
     return (
-        F.when(inside, -_INF).when(~level, F.least(t1, t2)),
-        F.when(inside, _INF).when(~level, F.greatest(t1, t2)),
+        F.greatest(h_mid - h_half, v_mid - v_half, F.lit(0.0)),
+        F.least(h_mid + h_half, v_mid + v_half),
     )
 
 
@@ -47,13 +41,9 @@ def zone_interval(
     Both are null when the pair is never inside. Limits and horizon may be
     numbers or columns (for example from a table of settings).
     """
-    h_in, h_out = _horizontal(rx, ry, vx, vy, _col(h_limit), cfg.still)
-    v_in, v_out = _vertical(dz, vz, _col(v_limit), cfg.still)
-    known = h_in.isNotNull() & v_in.isNotNull()
-    t_in = F.greatest(h_in, v_in, F.lit(0.0))
-    t_out = F.least(h_out, v_out, _col(horizon).cast("double"))
-    valid = known & (t_in < t_out)
-    return F.when(valid, t_in), F.when(valid, t_out)
+    t_in, t_out = zone_span(rx, ry, vx, vy, dz, vz, h_limit, v_limit, cfg)
+    t_out = F.least(t_out, _col(horizon).cast("double"))
+    return F.when(t_in < t_out, t_in), F.when(t_in < t_out, t_out)
 
 
 def closest_approach(

@@ -31,8 +31,7 @@ def by_kind(ev: DataFrame) -> DataFrame:
     keep = [c for c in ev.columns if c not in (
         "s_step", "d_step", "z_step", "s_cpa", "d_cpa", "z_cpa", "t_entry", "s_now", "observed", "predicted", "t_cpa")]
     return (
-        ev.filter(F.col("observed") | F.col("predicted"))
-        .withColumn("_k", F.explode(F.when(F.col("observed"), inside).otherwise(ahead)))
+        ev.withColumn("_k", F.explode(F.when(F.col("observed"), inside).when(F.col("predicted"), ahead)))
         .select(*keep, "_k.*")
     )
 
@@ -50,7 +49,8 @@ def episodes(flagged: DataFrame, runways, ceiling_ft, *, keys=("day",), merge_ga
     ep = flagged.withColumn("_new", F.coalesce(gap > merge_gap_s + 1, F.lit(True)).cast("int")).withColumn(
         "ep", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
     )
-    rank = F.struct((F.col("s") + 1e-6 * F.col("d_h") / F.col("h_lim")).alias("k"), F.col("t"))
+    # equal separations are common on straight courses, so rounding noise must not decide
+    rank = F.struct(F.round(F.col("s") + 1e-6 * F.col("d_h") / F.col("h_lim"), 9).alias("k"), F.col("t"))
     point = F.struct(F.col("t").alias("t_min"), F.col("d_h"), F.col("dz_at"), F.col("s"), F.col("t_entry_s"),
                      *[F.col(c) for c in POINT])
     out = ep.groupBy(*group, "ep").agg(

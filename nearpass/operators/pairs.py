@@ -54,27 +54,29 @@ def relative_state():
 
 
 def _flagged(rel, setting: dict, cfg: Encounter):
-    args = [rel[c] for c in STATE]
     reach = max(float(setting["lookahead_s"]), cfg.step_s)
-    t_in, _ = zones.zone_interval(*args, setting["h_limit"], setting["v_limit"], reach, cfg)
-    return t_in.isNotNull() & rel["dz"].isNotNull()
+    t_in, t_out = zones.zone_span(*[rel[c] for c in STATE], setting["h_limit"], setting["v_limit"], cfg)
+    return t_in < F.least(t_out, F.lit(reach))
 
 
 def flagged_pairs(
-    rows: DataFrame, setting: dict, *, keys=("day",), cfg: Encounter = ENCOUNTER, crowd: int | None = 1000,
+    rows: DataFrame, setting: dict, *, keys=("day",), cfg: Encounter = ENCOUNTER, crowd: int | None = None,
     cells: bool | None = None,
 ) -> DataFrame:
     """Pair-seconds inside the zone now or within the lookahead.
 
     ``rows`` are presence rows; pairs are formed between legs of the same
     second. The zone test is part of the join condition, so only flagged pairs
-    leave the join. Three measures keep one second from becoming one big task:
-
-    * a second with more than ``crowd`` aircraft is cut into parts and joined
-      part by part (exact, no pair twice);
-    * when the prune radius is smaller than the volume, a grid cell joins the
-      key and each aircraft meets only its own and the neighbouring cells;
-    * all other seconds share one shuffle for both sides of the join.
+    leave the join, and both sides share one shuffle. A second that holds far
+    more rows than others is cut by adaptive skew-join handling, which splits
+    both sides by map output. Two further measures can be asked for:
+
+    * ``crowd``: seconds with more aircraft than this are cut into parts and
+      joined part by part (exact, no pair twice). It counts the rows first, so
+      use it on stored presence rows rather than on a long lazy chain;
+    * ``cells`` (default: when the prune radius is smaller than the volume): a
+      grid cell joins the key and each aircraft meets only its own and the
+      neighbouring cells.
     """
     second = [*keys, "t"]
     rows = rows.filter(F.col("r") <= setting["radius_nm"]).select(*second, *SIDE)
@@ -151,26 +153,41 @@ def evaluate(p: DataFrame, lookahead, cfg: Encounter = ENCOUNTER) -> DataFrame:
     """Flags and separations against the columns h_lim and v_lim of each row."""
     args = [F.col(c) for c in STATE]
     h, v = F.col("h_lim"), F.col("v_lim")
-    t_pred, _ = zones.zone_interval(*args, h, v, lookahead, cfg)
-    t_obs, _ = zones.zone_interval(*args, h, v, cfg.step_s, cfg)
-    _, d_step, z_step = zones.closest_approach(*args, cfg.step_s, cfg)
-    t_cpa, d_cpa, z_cpa = zones.closest_approach(*args, lookahead, cfg)
+    t_in, t_out = zones.zone_span(*args, h, v, cfg)
+    look = lookahead if isinstance(lookahead, str) else F.lit(float(lookahead))
+    look = F.col(look) if isinstance(look, str) else look
+    t_free = F.when(
+        F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") > cfg.still * cfg.still,
+        -(F.col("rx") * F.col("vx") + F.col("ry") * F.col("vy")) / (F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")),
+    ).otherwise(0.0)
+    p = p.withColumns({"_in": t_in, "_out": t_out, "_free": F.greatest(t_free, F.lit(0.0))})
+    p = p.withColumns({
+        "observed": F.col("_in") < F.least(F.col("_out"), F.lit(float(cfg.step_s))),
+        "_ahead": F.col("_in") < F.least(F.col("_out"), look),
+        "_ts": F.least(F.col("_free"), F.lit(float(cfg.step_s))),
+        "t_cpa": F.least(F.col("_free"), look),
+    })
+
+    def at(t):
+        return (F.hypot(F.col("rx") + F.col("vx") * F.col(t), F.col("ry") + F.col("vy") * F.col(t)),
+                F.col("dz") + F.col("vz") * F.col(t))
+
+    d_step, z_step = at("_ts")
+    d_cpa, z_cpa = at("t_cpa")
     p = p.withColumns({
-        "observed": t_obs.isNotNull(), "_tp": t_pred,
-        "d_step": d_step, "z_step": z_step, "t_cpa": t_cpa, "d_cpa": d_cpa, "z_cpa": z_cpa,
+        "predicted": F.col("_ahead") & ~F.col("observed"),
+        "d_step": d_step, "z_step": z_step, "d_cpa": d_cpa, "z_cpa": z_cpa,
     })
 
     def norm(d, z):
         return F.greatest(d / h, F.abs(z) / v)
 
-    predicted = F.col("_tp").isNotNull() & ~F.col("observed")
     return p.withColumns({
-        "predicted": predicted,
-        "t_entry": F.when(predicted, F.col("_tp")),
+        "t_entry": F.when(F.col("predicted"), F.col("_in")),
         "s_now": norm(F.hypot("rx", "ry"), F.col("dz")),
         "s_step": norm(F.col("d_step"), F.col("z_step")),
         "s_cpa": norm(F.col("d_cpa"), F.col("z_cpa")),
-    }).drop("_tp")
+    }).drop("_in", "_out", "_free", "_ahead", "_ts")
 
 
 def pair_minimum(pairs: DataFrame, h_max: float, v_max: float, keys=("day",)) -> DataFrame:
