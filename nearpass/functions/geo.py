@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..settings import DEPARTURE_BASE, GEOMETRY, NM_PER_M, Geometry
+from .plan import pin
 
 # WGS84 ellipsoid
 WGS84_A = 6378137.0
@@ -101,39 +102,30 @@ def runway_frame(dx: Column, dy: Column, bearing: float) -> tuple[Column, Column
     return -(dx * s + dy * c), dx * c - dy * s
 
 
-def flight_phase(
-    x: Column, y: Column, track: Column, h: Column, vrate: Column, runways, cfg: Geometry = GEOMETRY
-) -> Column:
-    """Phase code: 0 other, 1+k arrival to end k, 101+k departure from end k.
+def with_phase(df: DataFrame, runways, cfg: Geometry = GEOMETRY) -> DataFrame:
+    """Phase code of each row: 0 other, 1+k arrival to end k, 101+k departure from end k.
 
-    The K runway ends are unrolled into one array of (score, k, code) structs
-    whose minimum is the best end, so the row count never grows with K.
+    The K runway ends are unrolled, so the row count never grows with K: first
+    the frame of every end, then the best (score, k, code) struct of those that
+    match. Reads x, y, track, h and vrate.
     """
-    climbing = F.coalesce(vrate >= cfg.departure_vrate_fpm, F.lit(False))
-    options = []
+    frame = {}
     for k, (_, tx, ty, bearing) in enumerate(runways):
-        along, cross = runway_frame(x - tx, y - ty, bearing)
-        turn = track_delta(track, bearing)
-        aligned = (F.abs(cross) < cfg.phase_xtrack_nm) & (turn < cfg.phase_track_deg)
-        arrival = (
-            aligned
-            & (along > cfg.past_threshold_nm)
-            & (along < cfg.arrival_dist_nm)
-            & (h < cfg.arrival_height_ft)
-            & ~climbing
-        )
-        departure = (
-            aligned
-            & (along < cfg.departure_before_nm)
-            & (along > -cfg.departure_dist_nm)
-            & climbing
-        )
-        code = F.when(departure, DEPARTURE_BASE + 1 + k).when(arrival, 1 + k)
-        score = turn + cfg.xtrack_weight * F.abs(cross)
-        options.append(
-            F.when(code.isNotNull(), F.struct(score.alias("s"), F.lit(k).alias("k"), code.alias("c")))
-        )
-    return F.coalesce(F.array_min(F.array(*options))["c"], F.lit(0))
+        along, cross = runway_frame(F.col("x") - tx, F.col("y") - ty, bearing)
+        frame |= {f"_al{k}": along, f"_cr{k}": F.abs(cross), f"_tu{k}": track_delta(F.col("track"), bearing)}
+    climbing = F.coalesce(F.col("vrate") >= cfg.departure_vrate_fpm, F.lit(False))
+    df = pin(df, {**frame, "_climb": climbing})
+    options = []
+    for k in range(len(runways)):
+        along, cross, turn = F.col(f"_al{k}"), F.col(f"_cr{k}"), F.col(f"_tu{k}")
+        far = F.when(F.col("_climb"), (along > -cfg.departure_dist_nm) & (along < cfg.departure_before_nm)).otherwise(
+            (along > cfg.past_threshold_nm) & (along < cfg.arrival_dist_nm) & (F.col("h") < cfg.arrival_height_ft))
+        code = F.when(F.col("_climb"), DEPARTURE_BASE + 1 + k).otherwise(1 + k)
+        score = turn + cfg.xtrack_weight * cross
+        options.append(F.when(
+            (cross < cfg.phase_xtrack_nm) & (turn < cfg.phase_track_deg) & far,
+            F.struct(score.alias("s"), F.lit(k).alias("k"), code.alias("c"))))
+    return pin(df, {"phase": F.coalesce(F.array_min(F.array(*options))["c"], F.lit(0))}).drop(*frame, "_climb")
 
 
 def phase_runway_index(code: Column) -> Column:
@@ -164,30 +156,30 @@ def nearest_threshold(x: Column, y: Column, runways) -> Column:
     return F.least(*[F.hypot(x - tx, y - ty) for _, tx, ty, _ in runways])
 
 
-def geometry_class(
-    phase_a: Column, phase_b: Column, track_a: Column, track_b: Column,
-    xa: Column, ya: Column, ha: Column, xb: Column, yb: Column, hb: Column,
-    runways, cfg: Geometry = GEOMETRY,
-) -> Column:
+def with_geometry_class(df: DataFrame, runways, cfg: Geometry = GEOMETRY) -> DataFrame:
     """Encounter class at the closest point; the first matching rule wins."""
-    turn = track_delta(track_a, track_b)
-    ka, kb = phase_runway_index(phase_a), phase_runway_index(phase_b)
-    aligned = (ka >= 0) & (kb >= 0)
     bearings = F.array(*[F.lit(float(r[3])) for r in runways])
 
     def bearing(k):
         return F.element_at(bearings, (F.greatest(k, F.lit(0)) + 1).cast("int"))
 
-    near = (nearest_threshold(xa, ya, runways) <= cfg.runway_area_nm) & (
-        nearest_threshold(xb, yb, runways) <= cfg.runway_area_nm
-    )
-    low = (ha < cfg.runway_area_ft) & (hb < cfg.runway_area_ft)
-    parallel = aligned & (ka != kb) & (track_delta(bearing(ka), bearing(kb)) <= cfg.parallel_heading_deg)
-    return (
-        F.when(near & low, "runway_area")
+    def near(side):
+        d = nearest_threshold(F.col(f"x{side}"), F.col(f"y{side}"), runways)
+        return (d <= cfg.runway_area_nm) & (F.col(f"h{side}") < cfg.runway_area_ft)
+
+    df = pin(df, {
+        "_turn": track_delta(F.col("tra"), F.col("trb")),
+        "_ka": phase_runway_index(F.col("pha")), "_kb": phase_runway_index(F.col("phb")),
+        "_near": near("a") & near("b"),
+    })
+    turn, ka, kb = F.col("_turn"), F.col("_ka"), F.col("_kb")
+    aligned = (ka >= 0) & (kb >= 0)
+    cls = (
+        F.when(F.col("_near"), "runway_area")
         .when(aligned & (ka == kb) & (turn < cfg.in_trail_max_deg), "in_trail_same_runway")
-        .when(parallel, "parallel_runways")
-        .when((turn >= cfg.in_trail_max_deg) & (turn <= cfg.crossing_max_deg), "crossing")
+        .when(aligned & (ka != kb) & (track_delta(bearing(ka), bearing(kb)) <= cfg.parallel_heading_deg), "parallel_runways")
+        .when(turn.between(cfg.in_trail_max_deg, cfg.crossing_max_deg), "crossing")
         .when(turn > cfg.crossing_max_deg, "head_on")
         .otherwise("other")
     )
+    return pin(df, {"geometry_class": cls}).drop("_turn", "_ka", "_kb", "_near")

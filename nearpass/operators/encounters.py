@@ -58,17 +58,16 @@ def episodes(flagged: DataFrame, runways, ceiling_ft, *, keys=("day",), merge_ga
     )
     out = out.select(*group, "t_start", "t_end", (F.col("t_end") - F.col("t_start") + 1).alias("duration_s"), "m.*")
     ceiling = ceiling_ft if not isinstance(ceiling_ft, (int, float)) else F.lit(float(ceiling_ft))
-    h_max = F.greatest("ha", "hb")
+    out = geo.with_geometry_class(out, runways).withColumns({
+        "phase_a": geo.phase_label(F.col("pha"), runways), "phase_b": geo.phase_label(F.col("phb"), runways),
+        "h_max_ft": F.greatest("ha", "hb"),
+    })
     return out.select(
         *group, "t_start", "t_end", "duration_s", "t_min", F.col("d_h").alias("d_h_min_nm"),
         F.col("dz_at").alias("dz_at_min_ft"), F.col("s").alias("s_min"), "t_entry_s",
-        "xa", "ya", "ha", "xb", "yb", "hb", h_max.alias("h_max_ft"), (h_max <= ceiling).alias("inside_ceiling"),
+        "xa", "ya", "ha", "xb", "yb", "hb", "h_max_ft", (F.col("h_max_ft") <= ceiling).alias("inside_ceiling"),
         F.when(F.col("zref") == 1, "baro").otherwise("geo").alias("zref"),
-        geo.phase_label(F.col("pha"), runways).alias("phase_a"),
-        geo.phase_label(F.col("phb"), runways).alias("phase_b"),
-        geo.geometry_class(*(F.col(c) for c in (
-            "pha", "phb", "tra", "trb", "xa", "ya", "ha", "xb", "yb", "hb")), runways).alias("geometry_class"),
-        (F.col("ia") | F.col("ib")).alias("interpolated"),
+        "phase_a", "phase_b", "geometry_class", (F.col("ia") | F.col("ib")).alias("interpolated"),
     )
 
 

@@ -7,6 +7,7 @@ import dataclasses as dc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo, zones
+from ..functions.plan import pin
 from ..settings import ENCOUNTER, Encounter, Spec
 
 SIDE = ("leg", "x", "y", "z_baro", "z_geo", "h", "r", "vx", "vy", "vz", "track", "phase", "interpolated")
@@ -16,7 +17,7 @@ STATE = ("rx", "ry", "vx", "vy", "dz", "vz")
 def presence(grid: DataFrame, runways, ceiling_ft: float, keys=("day",)) -> DataFrame:
     """Airborne aircraft-seconds below the computation ceiling, with flight phase."""
     air = grid.filter(F.col("airborne") & (F.col("h") <= ceiling_ft))
-    return air.withColumn("phase", geo.flight_phase(*(F.col(c) for c in ("x", "y", "track", "h", "vrate")), runways))
+    return geo.with_phase(air, runways)
 
 
 def crowded_seconds(rows: DataFrame, keys, limit: int) -> DataFrame:
@@ -114,16 +115,13 @@ def flagged_pairs(
         a = busy.withColumn("pa", F.col("_part")).withColumn("pb", every)
         b = busy.withColumn("pb", F.col("_part")).withColumn("pa", every)
         out = joined(calm, calm).unionByName(joined(a, b, ("pa", "pb")))
-    state = {k: v.alias(k) for k, v in rel.items()}
-    return out.select(
-        *second, F.col("leg_a").alias("a"), F.col("leg_b").alias("b"), *state.values(),
-        F.col("x_a").alias("xa"), F.col("y_a").alias("ya"), F.col("h_a").alias("ha"),
-        F.col("x_b").alias("xb"), F.col("y_b").alias("yb"), F.col("h_b").alias("hb"),
-        F.col("r_a").alias("ra"), F.col("r_b").alias("rb"),
-        F.col("track_a").alias("tra"), F.col("track_b").alias("trb"),
-        F.col("phase_a").alias("pha"), F.col("phase_b").alias("phb"),
-        F.col("interpolated_a").alias("ia"), F.col("interpolated_b").alias("ib"),
-    )
+    # renamed through pin: as plain aliases each of them would double the number of
+    # variants of the join condition that the optimizer derives as constraints
+    named = {"a": "leg_a", "b": "leg_b", "tra": "track_a", "trb": "track_b", "pha": "phase_a", "phb": "phase_b",
+             "ia": "interpolated_a", "ib": "interpolated_b"}
+    named |= {f"{c}{s}": f"{c}_{s}" for s in ("a", "b") for c in ("x", "y", "h", "r")}
+    cols = {**rel, **{n: F.col(c) for n, c in named.items()}}
+    return pin(out, cols).select(*second, *cols)
 
 
 # ---------------------------------------------------------------- tiers ----
@@ -160,7 +158,7 @@ def evaluate(p: DataFrame, lookahead, cfg: Encounter = ENCOUNTER) -> DataFrame:
         F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") > cfg.still * cfg.still,
         -(F.col("rx") * F.col("vx") + F.col("ry") * F.col("vy")) / (F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")),
     ).otherwise(0.0)
-    p = p.withColumns({"_in": t_in, "_out": t_out, "_free": F.greatest(t_free, F.lit(0.0))})
+    p = pin(p, {"_in": t_in, "_out": t_out, "_free": F.greatest(t_free, F.lit(0.0))})
     p = p.withColumns({
         "observed": F.col("_in") < F.least(F.col("_out"), F.lit(float(cfg.step_s))),
         "_ahead": F.col("_in") < F.least(F.col("_out"), look),

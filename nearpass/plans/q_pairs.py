@@ -190,8 +190,7 @@ def g5(spark, d):
 
 @query("g6_geometry_class", statement(f"SELECT day, t, a, b, {CLASS_SQL} AS geometry_class FROM pairs", "pairs", "rwy"))
 def g6(spark, d):
-    cls = geo.geometry_class(*(F.col(c) for c in ("pha", "phb", "tra", "trb", "xa", "ya", "ha", "xb", "yb", "hb")), RWY)
-    return pairs(spark, d).select("day", "t", "a", "b", cls.alias("geometry_class"))
+    return geo.with_geometry_class(pairs(spark, d), RWY).select("day", "t", "a", "b", "geometry_class")
 
 
 @query("g7_parallel_spacing", statement(f"""WITH s AS (SELECT s_suppkey, s_nationkey, s_suppkey % 360 AS brg, s_acctbal / 1000 AS x,

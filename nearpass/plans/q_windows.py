@@ -278,7 +278,7 @@ SPEC2 = Spec(ceiling_ft=4000.0, tiers=SPEC.tiers[:2])
 
 
 @query("w9_encounter_rates", statement(f"""SELECT window_id, n AS T1_any, {r('p / 3600.0 AS pair_hours', 'n / nullif(p / 3600.0, 0) AS T1_any_rate')} FROM (
-  SELECT window_id, (SELECT count(*) FROM enc e WHERE tier = 'T1' AND kind = 'any' AND inside_ceiling AND t_min >= t_start AND t_min < t_end) AS n,
+  SELECT window_id, (SELECT count(*) FROM enc e WHERE tier = 'T1' AND kind = 'any' AND inside_ceiling AND e.t_min >= clock.t_start AND e.t_min < clock.t_end) AS n,
     coalesce((SELECT sum(pair_s) FROM sec1 s WHERE s.t >= t_start AND s.t < t_end), 0) AS p FROM clock)""", "clock", "enc", "sec1"))
 def w9(spark, d):
     spans = clock(spark, d)
