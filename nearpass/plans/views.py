@@ -277,3 +277,89 @@ SELECT leg, 'ac' || lpad(a::VARCHAR, 2, '0') AS icao24, t,
   ((v = 0 AND u >= 128) OR (v = 3 AND u BETWEEN 126 AND 139)) AS onground
 FROM finals0
 WHERE NOT (value > 120 OR (a IN (2, 6) AND u BETWEEN 112 AND 124) OR (a IN (7, 8) AND v = 0 AND u > 112))""", "finals0")
+
+# -------------------------------------------------------------- paired ----
+
+COUNTS = {
+    "n": "true", "T1_any": "event_type = 'click'", "T2_any": "event_type = 'view'",
+    "T3_any": "event_type = 'click' AND value > 100", "T1_observed": "event_type = 'click' AND value < 40",
+    "big": "value > 300",
+}
+
+
+def window_metrics(spark, sf_dir, events: DataFrame, which=("early", "pre", "post")) -> DataFrame:
+    """Counts of event rows in two-hour windows around each event, with a simple expectation."""
+    from ..operators.events import event_windows
+    from ..operators.intervals import interval_sums
+
+    s = study(spark, sf_dir)
+    per = s.groupBy("t").agg(
+        *[F.count_if(F.expr(c)).alias(n) for n, c in COUNTS.items()],
+        F.sum(F.when(F.col("event_type") == "view", F.round(F.col("value") * 100)).otherwise(0)).cast("bigint").alias("cents"))
+    spans = event_windows(events, which)
+    m = interval_sums(per, spans, [*COUNTS, "cents"], ids=("event_id", "window"))
+    out = spans.join(m, ["event_id", "window"]).join(events.select("event_id", "flow"), "event_id")
+    hours = F.col("cents") / 10000
+    expected = F.col("cents") / 6000 + 1
+    z = (F.col("T1_any") - expected) / F.sqrt(expected)
+    return out.withColumns({
+        "aircraft_s": F.col("n") * 60, "pair_hours": hours, "quality": F.when(F.col("big") > 0, "bad").otherwise("good"),
+        "partial_coverage": F.col("n") == 0, "T1_any_expected": expected, "T1_any_z": z, "T1_any_exceed95": z > 1.645,
+        "T1_any_in_control": z <= 1.645, "n_aircraft": F.col("n"), "local_hour": F.col("t_start") % 24,
+    })
+
+
+PAIR_COLS = ("aircraft_s", "pair_hours", "T1_any", "T2_any", "T3_any", "T1_observed")
+
+
+def event_frames(spark, sf_dir):
+    """(go-arounds, landings) with two-hour windows and a flow."""
+    from ..operators import events as evs
+    from ..sources.profiles import flow_of
+
+    a = approaches(spark, sf_dir).withColumn("flow", flow_of(F.col("runway"), AIRPORT.flows))
+    return evs.event_table(a, 120), evs.control_table(a, 30, 120)
+
+
+def paired(spark, sf_dir, bands: bool = True):
+    from ..operators import matching as mt
+
+    ev, ctl = event_frames(spark, sf_dir)
+    which = ("early", "pre", "post")
+    g, c = (mt.paired_windows(window_metrics(spark, sf_dir, e), e, PAIR_COLS, which) for e in (ev, ctl))
+    return mt.add_traffic_band(g, c) if bands else (g, c)
+
+
+_FLOW = "CASE runway " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AIRPORT.flows) + " ELSE 'other' END"
+cte("ga2h", f"""SELECT event_id, approach_id, t0, outcome, runway, {_FLOW} AS flow, 'g' AS grp,
+    count(*) OVER (PARTITION BY c2) AS cluster_size,
+    EXISTS (SELECT 1 FROM anch o WHERE o.outcome IN ('go_around', 'touch_and_go', 'ga_ambiguous') AND o.t0 >= x.t0 - 7200 AND o.t0 < x.t0) AS pre_contaminated
+  FROM (SELECT *, sum(CASE WHEN coalesce(t0 - pt > 7200, true) THEN 1 ELSE 0 END) OVER (ORDER BY t0, n) AS c2 FROM ga1) x""", "ga1", "anch")
+cte("both2h", f"""SELECT event_id, t0, flow, grp, cluster_size, pre_contaminated FROM ga2h
+  UNION ALL SELECT event_id, t_low, {_FLOW}, 'c', NULL, NULL FROM ctl""", "ga2h", "ctl")
+cte("w2h", """SELECT event_id, grp, t0, flow, 'early' AS wn, t0 - 14400 AS a, t0 - 7200 AS b FROM both2h
+  UNION ALL SELECT event_id, grp, t0, flow, 'pre', t0 - 7200, t0 FROM both2h UNION ALL SELECT event_id, grp, t0, flow, 'post', t0, t0 + 7200 FROM both2h""", "both2h")
+cte("m2h0", """SELECT w.event_id, w.grp, w.wn, w.a, count(s.event_id) AS n, count(*) FILTER (event_type = 'click') AS T1_any, count(*) FILTER (event_type = 'view') AS T2_any,
+    count(*) FILTER (event_type = 'click' AND value > 100) AS T3_any, count(*) FILTER (event_type = 'click' AND value < 40) AS T1_observed,
+    count(*) FILTER (value > 300) AS big, coalesce(sum(round(value * 100)) FILTER (event_type = 'view'), 0)::BIGINT AS cents
+  FROM w2h w LEFT JOIN study s ON s.t >= w.a AND s.t < w.b GROUP BY ALL""", "w2h", "study")
+cte("m2h", """SELECT *, n * 60 AS aircraft_s, cents / 10000 AS pair_hours, big > 0 OR n = 0 AS bad, cents / 6000 + 1 AS expected,
+    (T1_any - (cents / 6000 + 1)) / sqrt(cents / 6000 + 1) AS z FROM m2h0""", "m2h0")
+
+
+def _pivot_sql():
+    cols = []
+    for w in ("early", "pre", "post"):
+        for c in PAIR_COLS:
+            cols.append(f"max({c}) FILTER (wn = '{w}') AS {w}_{c}")
+        cols.append(f"bool_or(bad) FILTER (wn = '{w}') AS {w}_bad")
+    return ", ".join(cols)
+
+
+cte("paired0", f"""SELECT event_id, grp, {_pivot_sql()}, max(expected) FILTER (wn = 'pre') AS pre_expected, max(expected) FILTER (wn = 'post') AS post_expected,
+    max(z) FILTER (wn = 'pre') AS pre_z, max(z) FILTER (wn = 'post') AS post_z, strftime(make_timestamp(max(a) FILTER (wn = 'pre') * 1000000), '%Y-%m-%d') AS day
+  FROM m2h GROUP BY event_id, grp""", "m2h")
+cte("paired1", """SELECT p.*, b.t0, b.flow, b.cluster_size, b.pre_contaminated, hour(make_timestamp(b.t0 * 1000000))::BIGINT AS hour, pre_bad OR post_bad AS excluded
+  FROM paired0 p JOIN both2h b USING (event_id, grp)""", "paired0", "both2h")
+cte("pg", "SELECT * FROM paired1 WHERE grp = 'g'", "paired1")
+cte("pc", "SELECT * FROM paired1 WHERE grp = 'c'", "paired1")
