@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -17,3 +19,18 @@ def pin(df: DataFrame, cols: dict) -> DataFrame:
     drop = [c for c in cols if c in df.columns]
     one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
     return df.withColumn("_pin", one).drop(*drop).select("*", "_pin.*").drop("_pin")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a small intermediate result to the checkpoint folder and continue from there.
+
+    Iterative steps and tables that many later branches read would otherwise
+    repeat their whole plan in every branch. The folder is the one the session
+    names in spark.checkpoint.dir; only where none is set (tests, one machine)
+    a temporary one is made.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)

@@ -31,7 +31,10 @@ def day_bootstrap(per_day: DataFrame, values, stats: dict, *, reps: int, seed, g
     days = F.array_sort(F.collect_list(F.struct(F.col(day), *[F.col(v).cast("double").alias(v) for v in values])))
     base = per_day.groupBy(*group).agg(days.alias("_days")) if group else per_day.agg(days.alias("_days"))
     base = base.withColumn("_n", F.size("_days"))
-    total = {v: F.aggregate(F.col("_days"), F.lit(0.0), lambda acc, x, v=v: acc + x[v]) for v in values}
+    def plus(v):
+        return lambda acc, x: acc + x[v]
+
+    total = {v: F.aggregate(F.col("_days"), F.lit(0.0), plus(v)) for v in values}
     base = base.withColumns({f"_t_{v}": c for v, c in total.items()})
     base = base.withColumns({n: fn({v: F.col(f"_t_{v}") for v in values}) for n, fn in stats.items()})
     rep = base.select(*group, *stats, "_days", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))

@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dist import norm_cdf, wilson
+from ..functions.plan import cut_lineage
 from ..settings import BASELINE, Baseline
 from .bootstrap import draw, holm, ks_uniform, ratio_bootstrap, signed_rank
 
@@ -65,6 +66,7 @@ def irr(df: DataFrame, *, reps: int, seed, group=(), rounds: int = 6, day: str =
     # equal exposure ratios on one day enter the likelihood only through their totals
     ok = ok.groupBy(*group, "day", (F.col("e2") / F.col("e1")).alias("x")).agg(
         F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2"))
+    ok = cut_lineage(ok)
     days = ok.select(*group, "day").distinct()
     listed = (days.groupBy(*group) if group else days.groupBy()).agg(F.array_sort(F.collect_set("day")).alias("_d")).withColumn("_n", F.size("_d"))
     reps_ = listed.select(*group, "_d", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition("rep")
@@ -73,7 +75,7 @@ def irr(df: DataFrame, *, reps: int, seed, group=(), rounds: int = 6, day: str =
     picks = picks.groupBy(*group, "rep", "day").agg(F.count(F.lit(1)).alias("m"))
     every = days.withColumns({"rep": F.lit(-1), "m": F.lit(1).cast("bigint")})
     key = [*group, "rep"]
-    rows = picks.unionByName(every).join(ok, [*group, "day"]).repartition(*key)
+    rows = cut_lineage(picks.unionByName(every).join(ok, [*group, "day"]).repartition(*key))
     m = F.col("m")
     theta = rows.groupBy(*key).agg(
         F.sum(m * F.col("a")).alias("sa"), F.sum(m * F.col("b")).alias("sb"),
@@ -117,7 +119,7 @@ def primary_results(risk: DataFrame, metrics, *, reps: int, seed, group=("event_
     effects, and the Holm correction over the secondary endpoints.
     """
     key = [*group, "endpoint"]
-    rows = long_metrics(risk, metrics, ("event_id", "day", *group))
+    rows = cut_lineage(long_metrics(risk, metrics, ("event_id", "day", *group)))
     out = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_events"), *[F.sum(c).alias(f"sum_{c}") for c in ("pre", "post")],
         F.sum("e_pre").alias("exposure_pre_h"), F.sum("e_post").alias("exposure_post_h"),

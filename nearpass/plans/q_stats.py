@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.plan import cut_lineage
 from ..operators import bootstrap as bs, eventstats as es, matching as mt, windows as wn
 from ..operators.intervals import interval_sums
 from ..settings import BASELINE
@@ -36,7 +37,8 @@ def risk(spark, d):
     m = views.window_metrics(spark, d, ev, ("pre", "post"))
     from ..functions.timefns import day_text
 
-    return es.risk_table(m, ev.drop("flow", "day"), ["T1_any", "T2_any"]).withColumn("day", day_text(F.col("t0")))
+    out = es.risk_table(m, ev.drop("flow", "day"), ["T1_any", "T2_any"]).withColumn("day", day_text(F.col("t0")))
+    return cut_lineage(out)
 
 
 cte("risk", """SELECT *, strftime(make_timestamp(t0 * 1000000), '%Y-%m-%d') AS day0, pre_z <= 1.645 AS pre_ok FROM (SELECT p.*, outcome FROM pg p JOIN ga2h USING (event_id))""", "pg", "ga2h")
@@ -341,11 +343,15 @@ def m8(spark, d):
     return rounded(out.select("group", "n", "in_normal_range", "traffic_before_h", "oe_before"))
 
 
-@query("m10_leave_one_out", statement(f"""WITH RECURSIVE zz AS (SELECT 1) SELECT event_id, {r('b0 AS before', 'a0 AS after', '(ga / nullif(gp, 0)) / nullif(ca / nullif(cp, 0), 0) AS vs_normal_without')} FROM (
-  SELECT e.event_id, e.pre_T1_any AS b0, e.post_T1_any AS a0, sum(g.g0) - CASE WHEN bool_or(g.hour = e.hour) THEN e.pre_T1_any ELSE 0 END AS gp, sum(g.g1) - CASE WHEN bool_or(g.hour = e.hour) THEN e.post_T1_any ELSE 0 END AS ga,
+cte("loo_s", """SELECT hour, ng, g0, g1, nc, c0, c1 FROM (SELECT hour, count(*) AS ng, sum(pre_T1_any) AS g0, sum(post_T1_any) AS g1 FROM ug GROUP BY 1)
+   JOIN (SELECT hour, count(*)::DOUBLE AS nc, sum(pre_T1_any) AS c0, sum(post_T1_any) AS c1 FROM uc GROUP BY 1) USING (hour)""", "ug", "uc")
+cte("loo", """SELECT e.event_id, any_value(e.pre_T1_any) AS b0, any_value(e.post_T1_any) AS a0,
+    sum(CASE WHEN g.hour = e.hour THEN g.g0 - e.pre_T1_any ELSE g.g0 END) AS gp, sum(CASE WHEN g.hour = e.hour THEN g.g1 - e.post_T1_any ELSE g.g1 END) AS ga,
     sum((g.ng - CASE WHEN g.hour = e.hour THEN 1 ELSE 0 END) * g.c0 / g.nc) AS cp, sum((g.ng - CASE WHEN g.hour = e.hour THEN 1 ELSE 0 END) * g.c1 / g.nc) AS ca
-  FROM ug e, (SELECT * FROM (SELECT hour, count(*) AS ng, sum(pre_T1_any) AS g0, sum(post_T1_any) AS g1 FROM ug GROUP BY 1)
-     JOIN (SELECT hour, count(*)::DOUBLE AS nc, sum(pre_T1_any) AS c0, sum(post_T1_any) AS c1 FROM uc GROUP BY 1) USING (hour)) g GROUP BY ALL)""".replace("WITH RECURSIVE zz AS (SELECT 1) ", ""), "ug", "uc"))
+  FROM ug e CROSS JOIN loo_s g GROUP BY e.event_id""", "ug", "loo_s")
+
+
+@query("m10_leave_one_out", statement(f"SELECT event_id, {r('b0::DOUBLE AS before', 'a0::DOUBLE AS after', '(ga / nullif(gp, 0)) / nullif(ca / nullif(cp, 0), 0) AS vs_normal_without')} FROM loo", "loo"))
 def m10(spark, d):
     g, c = views.paired(spark, d, bands=False)
     out = mt.leave_one_out(g, c, "T1_any")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.plan import cut_lineage
 from ..settings import Airport
 from .registry import cte
 
@@ -318,7 +319,7 @@ def event_frames(spark, sf_dir):
     from ..sources.profiles import flow_of
 
     a = approaches(spark, sf_dir).withColumn("flow", flow_of(F.col("runway"), AIRPORT.flows))
-    return evs.event_table(a, 120), evs.control_table(a, 30, 120)
+    return cut_lineage(evs.event_table(a, 120)), cut_lineage(evs.control_table(a, 30, 120))
 
 
 def paired(spark, sf_dir, bands: bool = True):
@@ -326,7 +327,7 @@ def paired(spark, sf_dir, bands: bool = True):
 
     ev, ctl = event_frames(spark, sf_dir)
     which = ("early", "pre", "post")
-    g, c = (mt.paired_windows(window_metrics(spark, sf_dir, e), e, PAIR_COLS, which) for e in (ev, ctl))
+    g, c = (cut_lineage(mt.paired_windows(window_metrics(spark, sf_dir, e), e, PAIR_COLS, which)) for e in (ev, ctl))
     return mt.add_traffic_band(g, c) if bands else (g, c)
 
 
