@@ -266,14 +266,19 @@ def similar_landings(g: DataFrame, c: DataFrame, k: int = 10) -> DataFrame:
     # neighbours by traffic: rank landings inside each pool and look k ranks to both sides
     pools = c.select("ctl_id", "cx", "hour", F.explode(F.array(F.col("ctl_flow"), F.lit("*"))).alias("pool"))
     key = ["hour", "pool"]
-    ranked = number_rows(pools.withColumn("_b", F.floor(F.col("cx") * 4)), key, "_b", ["cx", "ctl_id"], "rk").drop("_b")
+    # equal traffic: the smaller id is nearer on both sides, so each side has its own order
+    ranked = number_rows(pools.withColumn("_b", F.floor(F.col("cx") * 4)), key, "_b", ["cx", "ctl_id"], "up")
+    ranked = number_rows(ranked, key, "_b", ["cx", F.desc("ctl_id")], "down").drop("_b")
     marks = ev.select("event_id", "hour", F.when(F.col("by_flow"), F.col("flow")).otherwise("*").alias("pool"), "gx")
     mixed = ranked.select("hour", "pool", F.col("cx").alias("x"), F.lit(None).cast("string").alias("event_id"), F.lit(1).alias("is_c")).unionByName(
         marks.select("hour", "pool", F.col("gx").alias("x"), "event_id", F.lit(0).alias("is_c")))
     mixed = mixed.withColumn("_b", F.floor(F.col("x") * 4))
     at = running_sum(mixed, key, "_b", ["x", "is_c"], F.col("is_c"), "below").filter("is_c = 0").select("event_id", "hour", "pool", F.col("x").alias("gx"), "below")
-    want = at.withColumn("rk", F.explode(F.sequence(F.col("below") - k + 1, F.col("below") + k)))
-    cand = want.join(ranked, ["hour", "pool", "rk"])
+    low = at.withColumn("down", F.explode(F.sequence(F.col("below") - k + 1, F.col("below")))).join(
+        ranked.drop("up"), [*key, "down"]).select("event_id", "gx", "ctl_id", "cx")
+    high = at.withColumn("up", F.explode(F.sequence(F.col("below") + 1, F.col("below") + k))).join(
+        ranked.drop("down"), [*key, "up"]).select("event_id", "gx", "ctl_id", "cx")
+    cand = low.unionByName(high)
     # candidates per event are at most 2k, so this rank is over a bounded group
     near = W.partitionBy("event_id").orderBy(F.round(F.abs(F.col("cx") - F.col("gx")), 9), "ctl_id")
     return cand.withColumn("place", F.row_number().over(near)).filter(F.col("place") <= k).select("event_id", "ctl_id", "place")

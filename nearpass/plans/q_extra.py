@@ -181,3 +181,21 @@ def src9(spark, d):
 def src10(spark, d):
     """The even day sample that profile detection reads."""
     return audit.sample_days(views.study(spark, d).select("day").distinct())
+
+
+@query("src2_typed_reports", statement("""SELECT icao24, us, round(latitude, 6) AS latitude, altitude, geoaltitude, onground, round(position_time, 6) AS position_time FROM reports""", "reports"))
+def src2(spark, d):
+    """Reports read as text and typed again."""
+    from ..sources.files import typed_reports
+
+    raw = views.reports(spark, d).withColumnRenamed("position_time", "last_position")
+    text = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    t = typed_reports(text)
+    return rounded(t.select("icao24", F.unix_micros("timestamp").alias("us"), "latitude", "altitude", "geoaltitude", "onground", "position_time"))
+
+
+@query("src5_event_outcomes", statement("SELECT approach_id, outcome FROM approaches WHERE outcome IN ('go_around', 'touch_and_go', 'ga_ambiguous')", "approaches"))
+def src5(spark, d):
+    from ..settings import EVENT_OUTCOMES_AMBIGUOUS
+
+    return views.approaches(spark, d).filter(F.col("outcome").isin(*EVENT_OUTCOMES_AMBIGUOUS)).select("approach_id", "outcome")
