@@ -46,7 +46,11 @@ def schema_audit(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def _open(spark, paths, suffix) -> DataFrame:
-    return spark.read.parquet(*paths) if suffix == "parquet" else spark.read.option("header", "true").csv(paths)
+    if suffix == "csv":
+        return spark.read.option("header", "true").csv(paths)
+    # files written by pandas hold nanosecond timestamps, which Spark reads only as integers
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.parquet(*paths)
 
 
 def typed_reports(df: DataFrame) -> DataFrame:
@@ -59,13 +63,20 @@ def typed_reports(df: DataFrame) -> DataFrame:
         raise ValueError(f"missing required columns {gone}")
     cols = {c: F.col(c).try_cast("double") for c in NUMERIC}
     cols = {c: F.when(~F.isnan(v), v) for c, v in cols.items()}
-    ts = F.col("timestamp").try_cast("timestamp")
+    kinds = dict(df.dtypes)
+    if kinds["timestamp"] == "bigint":
+        ts = F.timestamp_micros(F.floor(F.col("timestamp") / 1000))
+    else:
+        ts = F.col("timestamp").try_cast("timestamp")
     out = {"timestamp": ts, "icao24": F.col("icao24").cast("string"), "callsign": F.col("callsign").cast("string"), **cols,
            "onground": F.coalesce(F.col("onground").try_cast("boolean"), F.lit(False))}
     name = next((c for c in POSITION_TIME_COLUMNS if c in df.columns), None)
     if name:
-        kind = dict(df.dtypes)[name]
-        pt = F.unix_micros(F.col(name).cast("timestamp")) / 1e6 if kind.startswith("timestamp") else F.col(name).try_cast("double")
+        pt = F.col(name).try_cast("double")
+        if kinds[name].startswith("timestamp"):
+            pt = F.unix_micros(F.col(name).cast("timestamp")) / 1e6
+        elif kinds[name] == "bigint":
+            pt = F.when(pt > 1e14, pt / 1e9).otherwise(pt)
         out["position_time"] = F.when(~F.isnan(pt), pt)
     keep = ["day"] if "day" in df.columns else []
     return df.select(*keep, *[c.alias(n) for n, c in out.items()]).dropna(subset=["latitude", "longitude"])
