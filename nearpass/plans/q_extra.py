@@ -199,3 +199,24 @@ def src5(spark, d):
     from ..settings import EVENT_OUTCOMES_AMBIGUOUS
 
     return views.approaches(spark, d).filter(F.col("outcome").isin(*EVENT_OUTCOMES_AMBIGUOUS)).select("approach_id", "outcome")
+
+
+def _nodes_sql(n=16):
+    import numpy as np
+
+    x, w = np.polynomial.legendre.leggauss(n)
+    return ", ".join(f"({float(a)!r}::DOUBLE, {float(b)!r}::DOUBLE)" for a, b in zip(x, w))
+
+
+cte("node", f"SELECT * FROM (VALUES {_nodes_sql()}) v(x, w)")
+cte("still", "SELECT event_id, least(value, 100) / 50 AS px, (user_id % 10) / 5 AS py FROM study", "study")
+
+
+@query("q5_disc_probability", statement("""SELECT event_id, round(sum(w * exp(-0.5 * (0.3*dx*dx - 2*0.1*dx*dy + 0.5*dy*dy) / 0.14)) / (2 * pi() * sqrt(0.14::DOUBLE)), 5) AS p FROM (
+   SELECT event_id, a.w * b.w * pi() / 2 * (a.x + 1) / 2 AS w, (a.x + 1) / 2 * cos(pi() * (b.x + 1)) - px AS dx, (a.x + 1) / 2 * sin(pi() * (b.x + 1)) - py AS dy
+   FROM still CROSS JOIN node a CROSS JOIN node b) GROUP BY 1""", "still", "node"))
+def q5(spark, d):
+    """Mass of a correlated normal error inside the unit disc around an offset point."""
+    s = views.study(spark, d).select("event_id", (F.least("value", F.lit(100.0)) / 50).alias("px"), ((F.col("user_id") % 10) / 5).alias("py"))
+    p = pb.disc_probability(F.col("px"), F.col("py"), F.lit(0.5), F.lit(0.3), F.lit(0.1), 1.0, 16)
+    return rounded(s.select("event_id", p.alias("p")), 5)
