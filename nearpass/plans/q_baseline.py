@@ -97,7 +97,7 @@ def b3_quantile(spark, d):
 
 @query("b4_fit_count_model")
 def b4(spark, d):
-    """Iterative fit; coefficients are compared with a direct solution in the tests."""
+    """Iterative fit; the tests recover known effects from simulated counts."""
     model = glm.fit_count_model(windows(spark, d), "T1_any")
     return rounded(model.params(spark).select("metric", "kind", "alpha", "pooled_rate", "n_windows", "n_events", F.explode_outer("coef").alias("term", "value")), 4)
 

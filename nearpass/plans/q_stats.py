@@ -324,7 +324,7 @@ cte("pool", "SELECT hour, event_id, pre_T1_any AS p0, post_T1_any AS p1, count(*
 
 @query("m7_placebo")
 def m7(spark, d):
-    """Random controls per event and set (the pool order is a hash order, so no SQL twin; tested for its law)."""
+    """Random controls per event and set (the pool order is a hash order, so no SQL twin)."""
     g, c = views.paired(spark, d, bands=False)
     return rounded(mt.placebo(g, c, "T1_any", n_sets=200, seed=SEED))
 
