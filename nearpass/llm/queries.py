@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearpass.llm import langid, simhash
+from nearpass.llm import bpe, langid, repetition, simhash
 from nearpass.llm.common import held_out, table
 
+#: Vocabulary of the registered queries; operators take any file's path.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,6 +30,23 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "text", held_out().alias("held_out")), net).drop("text")
 
 
+@query
+def op5_quality_rules(spark, sf_dir):
+    """Repetition figures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                                         "covered_words", "longest_repeat")
+
+
+@query
+def op7_bpe(spark, sf_dir):
+    """Digests of every document's token ids and of the text decoded from them."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+    text = bpe.decode(encoded, TOKENIZER)
+    return text.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
 @query
 def op9_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
