@@ -68,13 +68,25 @@ def signatures(fp: Column, segments: int = SEGMENTS) -> Column:
     return F.array(*out)
 
 
+def _meeting_place(difference: Column, segments: int) -> Column:
+    """Number of the one signature at which a pair is reported: in the first segment that differs by at most one bit, that bit or the segment's first."""
+    place = F.lit(None).cast("int")
+    bounds = [BITS * i // segments for i in range(segments + 1)]
+    for lo, hi in reversed(list(zip(bounds[:-1], bounds[1:]))):
+        part = F.shiftrightunsigned(difference, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        at = F.when(part == 0, lo).otherwise(F.bit_count(part - 1) + lo)
+        place = F.when(F.bit_count(part) <= 1, at).otherwise(place)
+    return place
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints in column fp that differ in at most ``max_bits`` bits."""
+    """Pairs (a, b), a < b, of distinct fingerprints in column fp that differ in at most ``max_bits`` bits; each pair once."""
     segments = max_bits // 2 + 1  # the fewest for which one segment differs by one bit at most
     index = fps.select("fp", F.explode(signatures(F.col("fp"), segments)).alias("sig"))
     left, right = index.select(F.col("fp").alias("a"), "sig"), index.select(F.col("fp").alias("b"), "sig")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return left.hint("merge").join(right.hint("merge"), "sig").filter(near).select("a", "b").distinct()
+    difference = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(difference) <= max_bits) & (F.shiftright("sig", 32) == _meeting_place(difference, segments))
+    return left.hint("merge").join(right.hint("merge"), "sig").filter(near).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, seed: int = 42,
