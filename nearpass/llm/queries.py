@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearpass.llm import bpe, langid, repetition, simhash
+from nearpass.llm import bpe, langid, mixing, repetition, sharding, simhash
 from nearpass.llm.common import held_out, table
 
 #: Vocabulary of the registered queries; operators take any file's path.
@@ -47,7 +47,22 @@ def op7_bpe(spark, sf_dir):
                        F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
+@query
+def op8_sharding(spark, sf_dir):
+    """Shard and slot of every document among eight shards."""
+    done = sharding.shards(table(spark, sf_dir, "documents"), 8)
+    text = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op9_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    """Sampling probability and draw of every document after raking to source, language and topic."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "probability", "draw", "sampled", "converged")
