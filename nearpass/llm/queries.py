@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearpass.llm import bpe, langid, mixing, repetition, sharding, simhash
+from nearpass.llm import bpe, langid, mixing, repetition, sharding, simhash, toxicity, urls
+from nearpass.llm.sql import URL_FILTER
 from nearpass.llm.common import held_out, table
 
 #: Vocabulary of the registered queries; operators take any file's path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -30,6 +33,30 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "text", held_out().alias("held_out")), net).drop("text")
 
 
+@query
+def op2_url_filter(spark, sf_dir):
+    """Rule and template verdict of every page. A page is labelled through the document whose id its path ends with."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    _, path = urls.host_and_path(F.col("url"))
+    number = F.regexp_extract(path, r"([0-9]+)(?:\.[a-z]+)?/?$", 1)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
+    keyed = pages.withColumn("doc_id", F.when(number != "", number.try_cast("bigint")))
+    labelled = keyed.join(labels, "doc_id", "left").drop("doc_id")
+    return urls.judge(labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
+SQL["op2_url_filter"] = URL_FILTER
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.log_model(toxicity.trigram_counts(docs))
+    evidence = toxicity.train(docs, labels.filter(~held_out()), model)
+    return toxicity.score(docs.select("doc_id", "text", held_out().alias("held_out")), evidence, model).drop("text")
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     """Repetition figures and verdict of every document."""
