@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearpass.llm import bpe, langid, mixing, repetition, sharding, simhash, toxicity, urls
-from nearpass.llm.sql import URL_FILTER
+from nearpass.llm import bpe, langid, mixing, repetition, search, sharding, simhash, toxicity, urls
+from nearpass.llm.sql import BM25, URL_FILTER
 from nearpass.llm.common import held_out, table
 
 #: Vocabulary of the registered queries; operators take any file's path.
@@ -93,3 +93,13 @@ def op9_simhash(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     """Sampling probability and draw of every document after raking to source, language and topic."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "probability", "draw", "sampled", "converged")
+
+
+@query
+def op4_bm25(spark, sf_dir):
+    """The ten documents most like each document whose id is divisible by 20, by its heaviest terms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.search(docs, docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+SQL["op4_bm25"] = BM25
