@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearpass.llm import bpe, langid, mixing, repetition, search, sharding, simhash, toxicity, urls
+from nearpass.llm import bpe, langid, mixing, repetition, search, sharding, simhash, tokencount, toxicity, urls
 from nearpass.llm.sql import BM25, URL_FILTER
 from nearpass.llm.common import held_out, table
 
@@ -65,6 +65,18 @@ def op5_quality_rules(spark, sf_dir):
                                          "covered_words", "longest_repeat")
 
 
+@query
+def op6_token_counts(spark, sf_dir):
+    """Token counts of every document before and after three edits at places that its id decides: an insertion, a deletion, a replacement."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.coalesce(F.length("text"), F.lit(0)) + 1).cast("int").alias("start")
+    edit = lambda k, drop, put: F.struct(place(k), F.lit(drop).alias("drop"), F.lit(put).alias("put"))
+    edits = F.array(edit(1, 0, " (revised)"), edit(2, 25, ""), edit(3, 7, "new words, new counts"))
+    trees = tokencount.build_trees(docs, TOKENIZER)
+    done = tokencount.apply_edits(trees.withColumn("edits", edits), TOKENIZER)
+    return done.select("doc_id", F.size("edits").cast("long").alias("n_edits"), "n_tokens_before", "n_tokens_after", "words_encoded", "words_after")
+
+
 @query
 def op7_bpe(spark, sf_dir):
     """Digests of every document's token ids and of the text decoded from them."""
