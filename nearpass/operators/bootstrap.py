@@ -75,7 +75,7 @@ def ratio_bootstrap(df: DataFrame, num: str, den: str, *, reps: int, seed, group
 
 @pandas_udf(T.DoubleType())
 def _signed_rank_exact(n: pd.Series, w: pd.Series) -> pd.Series:
-    """Two-sided exact probability of the signed-rank sum for small tie-free samples."""
+    """Two-sided exact probability of the signed-rank sum for tie-free samples."""
     out = []
     for k, s in zip(n, w):
         ways = np.zeros(int(k) * (int(k) + 1) // 2 + 1)
@@ -87,16 +87,17 @@ def _signed_rank_exact(n: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def signed_rank(df: DataFrame, value: str, group=(), exact_max: int = 50) -> DataFrame:
+def signed_rank(df: DataFrame, value: str, group=(), exact: bool = False) -> DataFrame:
     """Wilcoxon signed-rank test per group: n, w (smaller rank sum) and two-sided p.
 
     Equal magnitudes are counted first; ranks come from a two-level running
     count over magnitude blocks, so a large group is not sorted in one task.
-    The exact law is used for small samples without ties or zeros, the normal
-    approximation with tie correction otherwise. p is null below six values.
+    p comes from the normal approximation with tie correction at every size. With
+    ``exact`` it comes from the exact law, which only samples without ties and
+    zeros have; p is null for the others. It is null below six values as well.
     """
     if not group:
-        return signed_rank(df.withColumn("_g", F.lit(0)), value, ["_g"], exact_max).drop("_g")
+        return signed_rank(df.withColumn("_g", F.lit(0)), value, ["_g"], exact).drop("_g")
     group = list(group)
     v = F.col(value)
     rows = df.filter(v.isNotNull() & ~F.isnan(v))
@@ -114,10 +115,11 @@ def signed_rank(df: DataFrame, value: str, group=(), exact_max: int = 50) -> Dat
     w = F.least("w_pos", "w_neg")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = (w - n * (n + 1) / 4) / F.sqrt(var)
-    small = (F.col("ties") == 0) & (F.col("n") == F.col("n_all")) & (F.col("n") <= exact_max)
     out = out.withColumns({"w": w, "_z": F.when(var > 0, z)})
-    exact = _signed_rank_exact(F.when(small, F.col("n")).otherwise(1), F.when(small, F.col("w")).otherwise(0.0))
-    p = F.when(small, exact).otherwise(F.least(F.lit(1.0), 2 * norm_cdf(-F.abs("_z"))))
+    p = F.least(F.lit(1.0), 2 * norm_cdf(-F.abs("_z")))
+    if exact:
+        plain = (F.col("ties") == 0) & (F.col("n") == F.col("n_all"))
+        p = F.when(plain, _signed_rank_exact(F.when(plain, F.col("n")).otherwise(1), F.when(plain, F.col("w")).otherwise(0.0)))
     return out.select(*group, F.coalesce("n", F.lit(0)).alias("n"), "w", F.when((F.col("n_all") >= 6) & (F.col("n") > 0), p).alias("p_value"))
 
 

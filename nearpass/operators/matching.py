@@ -251,7 +251,7 @@ def epoch_by_group(g: DataFrame, c: DataFrame, per_second: DataFrame, values, *,
 
 
 def similar_landings(g: DataFrame, c: DataFrame, k: int = 10) -> DataFrame:
-    """The k usable landings most like each event: same hour, same flow if k exist, nearest traffic.
+    """The k usable landings most like each event: same hour, same flow if k exist, nearest traffic; any hour if the hour has none.
 
     Landings are counted per (hour, flow) first, which decides the pool; only
     then events meet landings, and each keeps its k nearest in a top-k array
@@ -261,15 +261,19 @@ def similar_landings(g: DataFrame, c: DataFrame, k: int = 10) -> DataFrame:
                                            F.log1p("pre_pair_hours").alias("cx"))
     n_hour = c.groupBy("hour").agg(F.count(F.lit(1)).alias("n_hour"))
     n_flow = c.groupBy("hour", F.col("ctl_flow").alias("flow")).agg(F.count(F.lit(1)).alias("n_flow"))
-    ev = g.select("event_id", "hour", "flow", F.log1p("pre_pair_hours").alias("gx")).join(n_hour, "hour").join(n_flow, ["hour", "flow"], "left")
+    ev = g.select("event_id", "hour", "flow", F.log1p("pre_pair_hours").alias("gx")).join(n_hour, "hour", "left").join(n_flow, ["hour", "flow"], "left")
     ev = ev.withColumn("by_flow", F.coalesce(F.col("n_flow") >= k, F.lit(False)))
     # neighbours by traffic: rank landings inside each pool and look k ranks to both sides
-    pools = c.select("ctl_id", "cx", "hour", F.explode(F.array(F.col("ctl_flow"), F.lit("*"))).alias("pool"))
+    hour = F.col("hour").cast("long")
+    pools = c.select("ctl_id", "cx", hour.alias("hour"), F.explode(F.array(F.col("ctl_flow"), F.lit("*"))).alias("pool")).unionByName(
+        c.select("ctl_id", "cx", F.lit(-1).cast("long").alias("hour"), F.lit("**").alias("pool")))
     key = ["hour", "pool"]
     # equal traffic: the smaller id is nearer on both sides, so each side has its own order
     ranked = number_rows(pools.withColumn("_b", F.floor(F.col("cx") * 4)), key, "_b", ["cx", "ctl_id"], "up")
     ranked = number_rows(ranked, key, "_b", ["cx", F.desc("ctl_id")], "down").drop("_b")
-    marks = ev.select("event_id", "hour", F.when(F.col("by_flow"), F.col("flow")).otherwise("*").alias("pool"), "gx")
+    none = F.col("n_hour").isNull()
+    marks = ev.select("event_id", F.when(none, -1).otherwise(hour).alias("hour"),
+                      F.when(none, "**").when(F.col("by_flow"), F.col("flow")).otherwise("*").alias("pool"), "gx")
     mixed = ranked.select("hour", "pool", F.col("cx").alias("x"), F.lit(None).cast("string").alias("event_id"), F.lit(1).alias("is_c")).unionByName(
         marks.select("hour", "pool", F.col("gx").alias("x"), "event_id", F.lit(0).alias("is_c")))
     mixed = mixed.withColumn("_b", F.floor(F.col("x") * 4))

@@ -58,10 +58,10 @@ def by_local_hour(apps: DataFrame, hour) -> DataFrame:
 
 
 def runway_ranking(apps: DataFrame, minimum: int = 200) -> DataFrame:
-    """Go-around rate of runways with enough attempts."""
+    """Go-around rate of every runway; ``enough`` tells which have the attempts that a ranking needs."""
     per = apps.filter(is_attempt() & (F.col("runway") != "")).groupBy("runway").agg(
         F.count(F.lit(1)).alias("approaches"), F.count_if(F.col("outcome").isin(*GO_AROUND_OUTCOMES)).alias("ga"))
-    return per.filter(F.col("approaches") >= minimum).withColumn("rate", 1000 * F.col("ga") / F.col("approaches"))
+    return per.withColumns({"rate": 1000 * F.col("ga") / F.col("approaches"), "enough": F.col("approaches") >= minimum})
 
 
 def describe(df: DataFrame, cols) -> DataFrame:

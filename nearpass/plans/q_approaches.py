@@ -236,8 +236,8 @@ def ag5_hours(spark, d):
     return sm.by_local_hour(views.approaches(spark, d), timefns.local_hour(F.col("t_low"), AIRPORT.timezone))
 
 
-@query("ag5_runway_ranking", statement(f"""SELECT runway, count(*) AS approaches, count(*) FILTER ({GA2}) AS ga, {r(f'1000.0 * count(*) FILTER ({GA2}) / count(*) AS rate')}
-  FROM approaches WHERE {ATT} AND runway <> '' GROUP BY 1 HAVING count(*) >= 200""", "approaches"))
+@query("ag5_runway_ranking", statement(f"""SELECT runway, count(*) AS approaches, count(*) FILTER ({GA2}) AS ga, {r(f'1000.0 * count(*) FILTER ({GA2}) / count(*) AS rate')}, count(*) >= 200 AS enough
+  FROM approaches WHERE {ATT} AND runway <> '' GROUP BY 1""", "approaches"))
 def ag5_ranking(spark, d):
     return rounded(sm.runway_ranking(views.approaches(spark, d)))
 

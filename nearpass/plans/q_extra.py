@@ -17,12 +17,11 @@ from .views import AIRPORT
 cte("errs", """SELECT p.day, p.leg, p.t AS t0, tau, CASE WHEN phase = 0 THEN 'other' WHEN phase > 100 THEN 'departure' ELSE 'arrival' END AS phase,
    (g.x - p.x - p.vx*tau) * sin(radians(p.track)) + (g.y - p.y - p.vy*tau) * cos(radians(p.track)) AS e_along,
    (g.x - p.x - p.vx*tau) * cos(radians(p.track)) - (g.y - p.y - p.vy*tau) * sin(radians(p.track)) AS e_cross, g.h - p.h - p.vz*tau AS e_z
-  FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ('0x' || substr(md5('5|' || leg || '|' || t), 1, 8))::BIGINT, leg, t) AS rk FROM pres) p
-  JOIN (SELECT unnest(generate_series(10, 180, 10)) AS tau) ON true JOIN grid g ON g.day = p.day AND g.leg = p.leg AND g.t = p.t + tau WHERE rk <= 3000""", "pres", "grid")
+  FROM pres p JOIN (SELECT unnest(generate_series(10, 180, 10)) AS tau) ON true JOIN grid g ON g.day = p.day AND g.leg = p.leg AND g.t = p.t + tau""", "pres", "grid")
 
 
 def samples(spark, d):
-    return pb.error_samples(views.grid(spark, d), q_pairs.presence(spark, d), n_per_day=3000, seed=5)
+    return pb.error_samples(views.grid(spark, d), q_pairs.presence(spark, d))
 
 
 @query("q1_error_samples", statement(f"SELECT day, leg, t0, tau, phase, {r('e_along', 'e_cross', 'e_z')} FROM errs", "errs"))
@@ -179,7 +178,7 @@ def src9(spark, d):
 @query("src10_sample_days", statement("""SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM study))
    WHERE i IN (SELECT round_even(k * (n - 1) / 4.0, 0) FROM generate_series(0, 4) g(k))""", "study"))
 def src10(spark, d):
-    """The even day sample that profile detection reads."""
+    """An even sample of days."""
     return audit.sample_days(views.study(spark, d).select("day").distinct())
 
 
@@ -201,7 +200,7 @@ def src5(spark, d):
     return views.approaches(spark, d).filter(F.col("outcome").isin(*EVENT_OUTCOMES_AMBIGUOUS)).select("approach_id", "outcome")
 
 
-def _nodes_sql(n=16):
+def _nodes_sql(n=48):
     import numpy as np
 
     x, w = np.polynomial.legendre.leggauss(n)
@@ -218,5 +217,5 @@ cte("still", "SELECT event_id, least(value, 100) / 50 AS px, (user_id % 10) / 5
 def q5(spark, d):
     """Mass of a correlated normal error inside the unit disc around an offset point."""
     s = views.study(spark, d).select("event_id", (F.least("value", F.lit(100.0)) / 50).alias("px"), ((F.col("user_id") % 10) / 5).alias("py"))
-    p = pb.disc_probability(F.col("px"), F.col("py"), F.lit(0.5), F.lit(0.3), F.lit(0.1), 1.0, 16)
+    p = pb.disc_probability(F.col("px"), F.col("py"), F.lit(0.5), F.lit(0.3), F.lit(0.1), 1.0, 48)
     return rounded(s.select("event_id", p.alias("p")), 5)

@@ -379,8 +379,8 @@ def m12(spark, d):
 
 
 cte("simc", "SELECT event_id AS ctl_id, hour, flow AS cflow, ln(1 + pre_pair_hours) AS cx, count(*) OVER (PARTITION BY hour, flow) AS nf FROM pc WHERE NOT excluded", "pc")
-cte("sim", """SELECT g.event_id, c.ctl_id, row_number() OVER (PARTITION BY g.event_id ORDER BY round(abs(c.cx - ln(1 + g.pre_pair_hours)), 9), c.ctl_id) AS place FROM pg g JOIN simc c ON c.hour = g.hour
-  AND (c.cflow = g.flow OR (SELECT count(*) FROM simc x WHERE x.hour = g.hour AND x.cflow = g.flow) < 3)""", "pg", "simc")
+cte("sim", """SELECT g.event_id, c.ctl_id, row_number() OVER (PARTITION BY g.event_id ORDER BY round(abs(c.cx - ln(1 + g.pre_pair_hours)), 9), c.ctl_id) AS place FROM pg g JOIN simc c ON (c.hour = g.hour
+  AND (c.cflow = g.flow OR (SELECT count(*) FROM simc x WHERE x.hour = g.hour AND x.cflow = g.flow) < 3)) OR NOT EXISTS (SELECT 1 FROM simc y WHERE y.hour = g.hour)""", "pg", "simc")
 
 
 @query("m13_similar_landings", statement("SELECT event_id, ctl_id, place FROM sim WHERE place <= 3", "sim"))

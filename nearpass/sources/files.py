@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import file_stem, file_suffix
@@ -22,7 +26,7 @@ def daily_files(spark: SparkSession, folder: str) -> DataFrame:
         .filter(F.col("suffix").isin("csv", "parquet"))
     )
     root = folder.rstrip("/").removeprefix("file:")
-    inner = F.regexp_replace("path", f"^.*?{root}/", "")
+    inner = F.regexp_replace("path", "^.*?" + re.escape(root) + "/", "")
     files = files.filter(~F.regexp_like(inner, F.lit(r"(^|/)\.")))
     twice = files.groupBy("stem", "suffix").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).filter("n > 1").limit(1).collect()
     if twice:
@@ -35,28 +39,33 @@ def missing_columns(columns) -> list:
     return [c for c in RAW_COLUMNS if c not in columns]
 
 
+def _layouts(spark: SparkSession, files: DataFrame) -> list[tuple]:
+    """(file row, columns with types) of every daily file, from headers and footers only, several files at a time."""
+    rows = files.orderBy("stem").collect()  # file names only
+    if any(f["suffix"] == "parquet" for f in rows):
+        # files written by pandas hold nanosecond timestamps, which Spark reads only as integers, and only by this setting
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    with ThreadPoolExecutor(16) as pool:
+        return list(zip(rows, pool.map(lambda f: tuple(_open(spark, [f["path"]], f["suffix"]).dtypes), rows)))
+
+
 def schema_audit(spark: SparkSession, files: DataFrame) -> DataFrame:
     """One row per file with its missing columns; a bad file is reported, not raised."""
     rows = []
-    for f in files.orderBy("stem").toLocalIterator():  # one small row per day file
-        df = _open(spark, [f["path"]], f["suffix"])
-        gone = missing_columns(df.columns)
+    for f, columns in _layouts(spark, files):
+        gone = missing_columns([c for c, _ in columns])
         rows.append((f["stem"], f["path"], f["suffix"], not gone, ", ".join(gone)))
     return spark.createDataFrame(rows, "stem string, path string, suffix string, ok boolean, missing string")
 
 
 def _open(spark, paths, suffix) -> DataFrame:
-    if suffix == "csv":
-        return spark.read.option("header", "true").csv(paths)
-    # files written by pandas hold nanosecond timestamps, which Spark reads only as integers
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    return spark.read.parquet(*paths)
+    return spark.read.option("header", "true").csv(paths) if suffix == "csv" else spark.read.parquet(*paths)
 
 
 def typed_reports(df: DataFrame) -> DataFrame:
     """Raw columns with their types; bad numbers and NaN become null, rows without position go.
 
-    The first known position-time column, if any, becomes ``position_time`` in epoch seconds.
+    ``position_time`` (epoch seconds) is the first of the known position-time columns that has a value in the row.
     """
     gone = missing_columns(df.columns)
     if gone:
@@ -70,32 +79,37 @@ def typed_reports(df: DataFrame) -> DataFrame:
         ts = F.col("timestamp").try_cast("timestamp")
     out = {"timestamp": ts, "icao24": F.col("icao24").cast("string"), "callsign": F.col("callsign").cast("string"), **cols,
            "onground": F.coalesce(F.col("onground").try_cast("boolean"), F.lit(False))}
-    name = next((c for c in POSITION_TIME_COLUMNS if c in df.columns), None)
-    if name:
-        pt = F.col(name).try_cast("double")
-        if kinds[name].startswith("timestamp"):
-            pt = F.unix_micros(F.col(name).cast("timestamp")) / 1e6
-        elif kinds[name] == "bigint":
-            pt = F.when(pt > 1e14, pt / 1e9).otherwise(pt)
-        out["position_time"] = F.when(~F.isnan(pt), pt)
+    known = []
+    for name in POSITION_TIME_COLUMNS:
+        if name in df.columns:
+            pt = F.col(name).try_cast("double")
+            if kinds[name].startswith("timestamp"):
+                pt = F.unix_micros(F.col(name).cast("timestamp")) / 1e6
+            elif kinds[name] == "bigint":
+                pt = F.when(pt > 1e14, pt / 1e9).otherwise(pt)
+            known.append(F.when(~F.isnan(pt), pt))
+    if known:
+        out["position_time"] = F.coalesce(*known)
     keep = ["day"] if "day" in df.columns else []
     return df.select(*keep, *[c.alias(n) for n, c in out.items()]).dropna(subset=["latitude", "longitude"])
 
 
 def load_reports(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """All daily files as one table partitioned by ``day`` (the file stem)."""
-    out = None
-    for suffix in ("parquet", "csv"):
-        paths = [r["path"] for r in files.filter(F.col("suffix") == suffix).select("path").collect()]  # file names only
-        if not paths:
-            continue
-        raw = _open(spark, paths, suffix)
-        raw = raw.withColumn("day", file_stem(F.col("_metadata.file_path")))
-        one = typed_reports(raw)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
+    """All daily files as one table partitioned by ``day`` (the file stem).
+
+    Files are read in groups of one layout (column names, order and types), each with its own columns, so files that order
+    their columns differently or name the position time differently keep their values. A file without a required column raises.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for f, columns in _layouts(spark, files):
+        gone = missing_columns([c for c, _ in columns])
+        if gone:
+            raise ValueError(f"{f['path']}: missing required columns {gone}")
+        groups.setdefault((f["suffix"], columns), []).append(f["path"])
+    if not groups:
         raise FileNotFoundError("no daily .parquet or .csv files")
-    return out
+    parts = [typed_reports(_open(spark, paths, suffix).withColumn("day", file_stem(F.col("_metadata.file_path")))) for (suffix, _), paths in groups.items()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 APPROACH_SCHEMA = (

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..settings import GO_AROUND_OUTCOMES
 
 
-def write_days(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by day; only the days in ``df`` are replaced."""
-    (df.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+def write_days(df: DataFrame, path: str, files_per_day: int = 8) -> None:
+    """Parquet partitioned by day; only the days in ``df`` are replaced. A day is written by up to ``files_per_day`` tasks."""
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c != "day"]), F.lit(files_per_day))
+    (df.repartition(F.col("day"), part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
 
 
 def write_tables(tables: dict, folder: str, fmt: str = "parquet") -> None:

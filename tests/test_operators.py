@@ -99,7 +99,7 @@ def test_normal_functions(spark):
 
 def test_signed_rank_exact(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 5, -6)], "v double")
-    r = bootstrap.signed_rank(df, "v").first()
+    r = bootstrap.signed_rank(df, "v", exact=True).first()
     assert r["n"] == 6 and r["w"] == 6.0 and r["p_value"] == pytest.approx(2 * 14 / 64)
 
 
@@ -144,6 +144,25 @@ def test_detector_matching_is_one_to_one(spark):
     assert got == [("", 2, "only_theirs"), ("e1", 1, "both"), ("e2", 0, "only_ours")]
 
 
+def test_mixed_file_layouts_keep_every_row(spark, tmp_path):
+    raw = views.reports(spark, SF).drop("event_id").limit(120).toPandas()
+    names = list(raw.columns.drop("position_time"))
+    for i, (kind, time_name) in enumerate((("csv", "last_position"), ("csv", "time_position"), ("parquet", "lastposupdate"), ("parquet", "time_position"))):
+        day = raw.rename(columns={"position_time": time_name})
+        day = day[[time_name, *names[::-1]] if i % 2 else [*names, time_name]]
+        path = tmp_path / f"KTST_2024010{i + 1}.{kind}"
+        day.to_csv(path, index=False) if kind == "csv" else day.to_parquet(path)
+    found = files.daily_files(spark, str(tmp_path))
+    got = files.load_reports(spark, found).groupBy("day").agg(F.count("*").alias("n"), F.count("position_time").alias("p"), F.sum("latitude").alias("la")).collect()
+    assert len(got) == 4 and {(r["n"], r["p"]) for r in got} == {(len(raw), int(raw["position_time"].notna().sum()))}
+    assert all(r["la"] == pytest.approx(raw["latitude"].sum()) for r in got)
+    raw.drop(columns="latitude").to_csv(tmp_path / "KTST_20240109.csv", index=False)
+    again = files.daily_files(spark, str(tmp_path))
+    assert [r["missing"] for r in files.schema_audit(spark, again).filter("not ok").collect()] == ["latitude"]
+    with pytest.raises(ValueError, match="latitude"):
+        files.load_reports(spark, again)
+
+
 def test_profile_rules():
     doc = {"icao": "ktst", "latitude": 36.0, "longitude": -86.0, "elevation_ft": 600, "preset": "air_carrier",
            "runways": {"09": [36.0, -86.0, 90.0]}, "airspace": {"ceiling_ft_msl": 4600}, "flows": {"east": ["09"]}}
