@@ -49,10 +49,11 @@ post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, min(place) AS place F
 len AS MATERIALIZED (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY doc_id),
 whole AS MATERIALIZED (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM documents) AS mean),
 freq AS MATERIALIZED (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post CROSS JOIN whole GROUP BY term),
-asked AS MATERIALIZED (SELECT doc_id AS q, term FROM post JOIN freq USING (term) WHERE doc_id % 20 = 0 AND df > 1
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(round(tf * idf * 1000000) AS BIGINT) DESC, place) <= 16),
-hits AS (SELECT q, p.doc_id, sum(CAST(round(idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) * 1000000) AS BIGINT)) AS score
-  FROM asked JOIN post p USING (term) JOIN freq USING (term) JOIN len USING (doc_id) CROSS JOIN whole GROUP BY q, p.doc_id)
+weighed AS MATERIALIZED (SELECT doc_id, term, place, df, CAST(round(idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) * 1000000) AS BIGINT) AS impact
+  FROM post JOIN freq USING (term) JOIN len USING (doc_id) CROSS JOIN whole),
+asked AS MATERIALIZED (SELECT doc_id AS q, term FROM weighed WHERE doc_id % 20 = 0 AND df > 1
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, place) <= 16),
+hits AS (SELECT q, p.doc_id, sum(impact) AS score FROM asked JOIN weighed p USING (term) GROUP BY q, p.doc_id)
 SELECT q AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, CAST(score AS DOUBLE) / 1000000 AS score FROM hits WHERE score > 0
 WINDOW w AS (PARTITION BY q ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10
 """
