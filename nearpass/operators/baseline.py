@@ -192,10 +192,38 @@ def stability(df: DataFrame, metric: str, *, seed=0, cfg: Baseline = BASELINE) -
     return out.withColumn("stable_from_here", later == 1)
 
 
-def verdict(n_days: Column, has_model: Column, pass95: Column, pass99: Column, warnings: Column) -> Column:
-    return (
-        F.when(~has_model | (~pass95 & ~pass99), "NOT VALID")
-        .when((warnings > 0) | (n_days < BASELINE.min_days), "VALID WITH WARNINGS").otherwise("VALID"))
+def baseline_warnings(*, n_days: int, out_of_sample: DataFrame | None, crosscheck: DataFrame | None, stability: DataFrame | None,
+                      sufficiency: DataFrame | None, cfg: Baseline = BASELINE) -> list[str]:
+    """What speaks against trusting a baseline, one sentence each; every table has a few rows.
+
+    Checked are the days behind it, both exceedance rates, strata that disagree with the model, a stable size of the
+    day sample, and strata with too few windows.
+    """
+    said = []
+    if n_days < cfg.min_days:
+        said.append(f"{n_days} days are fewer than {cfg.min_days}")
+    if out_of_sample is not None:
+        row = out_of_sample.first()
+        said += [f"the {s} % exceedance rate is outside its band" for s in ("95", "99") if row is not None and not row[f"pass{s}"]]
+    if crosscheck is not None:
+        share = crosscheck.agg(F.avg((~F.col("agree")).cast("double"))).first()[0]
+        if share is not None and share > cfg.max_disagreeing:
+            said.append(f"{100 * share:.0f} % of the strata disagree with the model")
+    if stability is not None and not stability.filter(F.col("stable_from_here") & (F.col("fraction") < 1)).count():
+        said.append("the rate has not settled with the number of days")
+    if sufficiency is not None:
+        thin = sufficiency.filter("flagged").count()
+        if thin:
+            said.append(f"{thin} strata have too few windows")
+    return said
+
+
+def verdict(has_model: bool, out_of_sample: DataFrame | None, warnings: list[str]) -> str:
+    """NOT VALID without a model or if both exceedance rates are outside their bands, else by the warnings."""
+    row = out_of_sample.first() if out_of_sample is not None else None
+    if not has_model or (row is not None and not row["pass95"] and not row["pass99"]):
+        return "NOT VALID"
+    return "VALID WITH WARNINGS" if warnings else "VALID"
 
 
 def multipliers(spark, model: CountModel) -> DataFrame:
@@ -206,26 +234,22 @@ def multipliers(spark, model: CountModel) -> DataFrame:
 
 
 def build_baseline(windows: DataFrame, metrics, *, seed=0, primary: str = "T1_any", validate: bool = True, cfg: Baseline = BASELINE) -> dict:
-    """Models, removed windows and validation tables for every metric, plus the verdict."""
+    """Models, removed windows and validation tables for every metric, the warnings and the verdict."""
     out = {"models": {}, "removed": {}, "tables": {}}
     terciles = exposure_terciles(windows)
-    warnings = 0
     for m in metrics:
         model, removed = phase1(windows, m, cfg=cfg)
         out["models"][m], out["removed"][m] = model, removed
         if model.kind != "pooled":
             out["tables"][f"crosscheck_{m}"] = crosscheck(windows, model, terciles, cfg)
+    oos = None
     if validate and primary in out["models"] and out["models"][primary].kind != "pooled":
         folded = with_folds(windows.filter(F.col("pair_hours") > 0), cfg)
-        oos = out_of_sample(score_by_fold(folded, folded, primary, seed=seed, cfg=cfg), primary, cfg)
-        row = oos.first()
-        out["tables"]["out_of_sample"] = oos
-        warnings = int(not row["pass95"]) + int(not row["pass99"])
-        out["verdict"] = "NOT VALID" if warnings == 2 else "VALID WITH WARNINGS" if warnings else "VALID"
-    else:
-        out["verdict"] = "NOT VALID" if primary not in out["models"] else "VALID WITH WARNINGS"
+        oos = out["tables"]["out_of_sample"] = out_of_sample(score_by_fold(folded, folded, primary, seed=seed, cfg=cfg), primary, cfg)
     out["tables"]["sufficiency"] = sufficiency(windows, primary, terciles, cfg)
     out["tables"]["stability"] = stability(windows, primary, seed=seed, cfg=cfg)
+    out["warnings"] = baseline_warnings(
+        n_days=windows.select("day").distinct().count(), out_of_sample=oos, crosscheck=out["tables"].get(f"crosscheck_{primary}"),
+        stability=out["tables"]["stability"] if validate and primary in out["models"] else None, sufficiency=out["tables"]["sufficiency"], cfg=cfg)
+    out["verdict"] = verdict(primary in out["models"], oos, out["warnings"])
     return out
-
-

@@ -57,7 +57,8 @@ def irr(df: DataFrame, *, reps: int, seed, group=(), rounds: int = 6, day: str =
     theta * e_post / e_pre. Every replicate (and the point value, replicate -1)
     has its own theta; all thetas take Newton steps together, one grouped sum
     per step, on data kept partitioned by (group, replicate). No event list is
-    ever gathered in one place.
+    ever gathered in one place. ``irr_converged`` tells whether the point value's
+    last step was below 1e-6; values of larger last steps are null.
     """
     group = list(group)
     pre, post, e1, e2 = (F.col(c).cast("double") for c in cols)
@@ -81,18 +82,19 @@ def irr(df: DataFrame, *, reps: int, seed, group=(), rounds: int = 6, day: str =
         F.sum(m * F.col("a")).alias("sa"), F.sum(m * F.col("b")).alias("sb"),
         F.sum(m * F.col("e1")).alias("s1"), F.sum(m * F.col("e2")).alias("s2"))
     start = F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.log(F.col("sb") * F.col("s1") / (F.col("sa") * F.col("s2"))))
-    theta = theta.select(*key, "sa", "sb", start.alias("th"))
+    theta = theta.select(*key, "sa", "sb", start.alias("th"), F.lit(0.0).alias("last"))
     for _ in range(rounds):
         odds = F.exp("th") * F.col("x")
         q = odds / (1 + odds)
         n = F.col("a") + F.col("b")
         step = rows.join(theta, key).groupBy(*key, "sa", "sb", "th").agg(
             F.sum(m * (F.col("b") - n * q)).alias("g"), F.sum(m * n * q * (1 - q)).alias("h"))
-        theta = step.select(*key, "sa", "sb", (F.col("th") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide("g", "h")))).alias("th"))
-    value = F.when(F.col("sb") == 0, 0.0).when(F.col("sa") == 0, F.lit(float("inf"))).otherwise(F.exp("th"))
+        move = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide("g", "h")))
+        theta = step.select(*key, "sa", "sb", (F.col("th") + move).alias("th"), move.alias("last"))
+    value = F.when(F.col("sb") == 0, 0.0).when(F.col("sa") == 0, F.lit(float("inf"))).when(F.abs("last") < 1e-6, F.exp("th"))
     out = theta.withColumn("v", value)
     boot = F.when((F.col("rep") >= 0) & (F.col("v") < float("inf")), F.col("v"))
-    agg = [F.max(F.when(F.col("rep") == -1, F.col("v"))).alias("irr"),
+    agg = [F.max(F.when(F.col("rep") == -1, F.col("v"))).alias("irr"), F.max(F.when(F.col("rep") == -1, F.col("v").isNotNull())).alias("irr_converged"),
            F.percentile(boot, F.lit(0.025)).alias("irr_lo"), F.percentile(boot, F.lit(0.975)).alias("irr_hi")]
     out = out.groupBy(*group).agg(*agg) if group else out.agg(*agg)
     finite = F.col("irr") < float("inf")

@@ -126,7 +126,7 @@ def interval_metrics(
     parts = [
         ex.span_exposure(presence, spans, spec, ids=ids, keys=keys),
         ex.distinct_aircraft(ex.presence_runs(presence, spec, keys=keys), spans, ids=ids, keys=keys),
-        ex.gap_counts(ex.gaps_in_volume(gaps, presence, spec), spans, ids=ids, keys=keys),
+        ex.gap_counts(ex.gaps_in_volume(gaps, presence, spec, **({"keys": keys} if keys else {})), spans, ids=ids, keys=keys),
         ex.outage_flags(outages, spans, ids=ids, keys=keys),
         ex.covered_seconds(spans, days, ids=ids, keys=keys),
         encounter_counts(enc, spans, tiers, ids=ids, keys=keys),

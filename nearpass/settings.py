@@ -202,7 +202,6 @@ class Windows:
     epoch_step_s: int = 60
     exclusion_min: int = 30
     exclusion_sensitivity_min: tuple = (15, 60)
-    control_max: int = 3000
 
 
 @dc.dataclass(frozen=True)
@@ -224,6 +223,7 @@ class Baseline:
     strata_hour_h: int = 6
     strata_min: int = 30
     crosscheck_rel: float = 0.25
+    max_disagreeing: float = 0.20
     pass95: tuple = (0.03, 0.07)
     pass99: tuple = (0.003, 0.02)
     min_months: int = 3
@@ -232,7 +232,6 @@ class Baseline:
     plateau_tol: float = 0.05
     min_days: int = 28
     recommended_days: int = 90
-    s_min_cap: float = 1.25
     bootstrap_reps: int = 2000
     sweep_reps: int = 500
     seed: int = 20250101
@@ -243,7 +242,6 @@ class Baseline:
 @dc.dataclass(frozen=True)
 class Probability:
     tau_step_s: int = 10
-    samples_per_day: int = 3000
     sigma0_nm: float = 0.02
     sigma0_ft: float = 25.0
     mad_scale: float = 1.4826

@@ -144,6 +144,21 @@ def test_detector_matching_is_one_to_one(spark):
     assert got == [("", 2, "only_theirs"), ("e1", 1, "both"), ("e2", 0, "only_ours")]
 
 
+def test_baseline_verdict(spark):
+    oos = lambda a, b: spark.createDataFrame([(a, b)], "pass95 boolean, pass99 boolean")
+    strata = lambda bad: spark.createDataFrame([(i >= bad, i < bad) for i in range(10)], "agree boolean, flagged boolean")
+    curve = lambda ok: spark.createDataFrame([(0.5, ok), (1.0, True)], "fraction double, stable_from_here boolean")
+    good = {"n_days": 60, "out_of_sample": oos(True, True), "crosscheck": strata(2), "stability": curve(True), "sufficiency": strata(0)}
+    cases = [({}, 0, "VALID"), ({"n_days": 27}, 1, "VALID WITH WARNINGS"), ({"out_of_sample": oos(False, True)}, 1, "VALID WITH WARNINGS"),
+             ({"out_of_sample": oos(False, False)}, 2, "NOT VALID"), ({"crosscheck": strata(3)}, 1, "VALID WITH WARNINGS"),
+             ({"stability": curve(False)}, 1, "VALID WITH WARNINGS"), ({"sufficiency": strata(1)}, 1, "VALID WITH WARNINGS")]
+    for change, n, want in cases:
+        k = {**good, **change}
+        said = baseline.baseline_warnings(**k)
+        assert len(said) == n and baseline.verdict(True, k["out_of_sample"], said) == want
+    assert baseline.verdict(False, None, []) == "NOT VALID"
+
+
 def test_mixed_file_layouts_keep_every_row(spark, tmp_path):
     raw = views.reports(spark, SF).drop("event_id").limit(120).toPandas()
     names = list(raw.columns.drop("position_time"))
