@@ -8,10 +8,12 @@ from ..functions.geo import flat_distance
 from ..settings import BASELINE, DETECTION, Airport, Detection
 
 
-def audit_days(raw: DataFrame, fresh: DataFrame, clean: DataFrame, grid: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One row per day with row counts, stale share, aircraft, legs, gaps and altitude availability.
+def audit_days(raw: DataFrame, fresh: DataFrame, near: DataFrame, kept: DataFrame, clean: DataFrame, grid: DataFrame, gaps: DataFrame,
+               silences: DataFrame) -> DataFrame:
+    """One row per day with row counts, stale share, aircraft, legs, dropped jumps, gaps, outages and altitude availability.
 
-    Each input is reduced to one row per day before the joins.
+    ``near`` are the reports before the jump filter and ``kept`` those after it; ``silences`` the outages (a, b) in seconds.
+    Each input is reduced to one row per day before the joins. ``schema_audit`` lists files that cannot be read.
     """
     share = lambda c: F.avg(c.cast("double"))
     a = raw.groupBy("day").agg(F.count(F.lit(1)).alias("rows_in_file"))
@@ -21,10 +23,15 @@ def audit_days(raw: DataFrame, fresh: DataFrame, clean: DataFrame, grid: DataFra
     c = clean.groupBy("day").agg(F.count_distinct("icao24").alias("aircraft"), F.count_distinct("icao24", "leg_no").alias("legs"), F.count(F.lit(1)).alias("clean_rows"))
     g = grid.groupBy("day").agg(share(F.col("interpolated")).alias("interp_share"), share(F.col("interp_long")).alias("interp_long_share"))
     h = gaps.groupBy("day").agg(F.count(F.lit(1)).alias("gaps_over_10s"))
+    j = near.groupBy("day").agg(F.count(F.lit(1)).alias("_near"))
+    k = kept.groupBy("day").agg(F.count(F.lit(1)).alias("_kept"))
+    o = silences.groupBy("day").agg(F.count(F.lit(1)).alias("outages"), F.sum(F.col("b") - F.col("a")).alias("outage_s"))
     out = a
-    for p in (b, c, g, h):
+    for p in (b, c, g, h, j, k, o):
         out = out.join(p, "day", "left")
-    return out.fillna(0, ["gaps_over_10s"]).withColumn("stale_position_share", 1 - F.col("messages") / F.col("rows_in_file"))
+    out = out.fillna(0, ["gaps_over_10s", "_near", "_kept", "outages", "outage_s"])
+    out = out.withColumn("dropped_jumps", F.col("_near") - F.col("_kept")).drop("_near", "_kept").withColumnRenamed("clean_rows", "messages_in_legs")
+    return out.withColumn("stale_position_share", 1 - F.col("messages") / F.col("rows_in_file"))
 
 
 def volume_verdict(days: DataFrame) -> DataFrame:

@@ -118,15 +118,22 @@ def v1(spark, d):
     return e.groupBy("parameter", "value", "tier", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside_ceiling").alias("n_inside"))
 
 
-@query("d1_data_audit", statement(f"""SELECT a.day, rows_in_file, messages, aircraft, legs, gaps AS gaps_over_10s, {r('1 - messages / rows_in_file AS stale_position_share', 'baro AS baro_alt_share')}
-   FROM (SELECT day, count(*) AS rows_in_file FROM rep GROUP BY 1) a JOIN (SELECT day, count(*) AS messages, avg((altitude IS NOT NULL)::INT) AS baro FROM fresh GROUP BY 1) b USING (day)
-   JOIN (SELECT day, count(DISTINCT icao24) AS aircraft, count(DISTINCT icao24 || '_' || leg_no) AS legs FROM smoothed GROUP BY 1) c USING (day)
-   JOIN (SELECT day, count(*) FILTER (t2 - t > 10) AS gaps FROM fix GROUP BY 1) h USING (day)""", "rep", "fresh", "smoothed", "fix"))
+@query("d1_data_audit", statement(f"""SELECT a.day, rows_in_file, messages, aircraft, legs, messages_in_legs, near - kept AS dropped_jumps, gaps AS gaps_over_10s,
+    coalesce(outages, 0) AS outages, coalesce(outage_s, 0)::BIGINT AS outage_s, {r('1 - messages / rows_in_file AS stale_position_share', 'baro AS baro_alt_share', 'geo AS geo_alt_share', 'ground AS onground_share')}
+   FROM (SELECT day, count(*) AS rows_in_file FROM rep GROUP BY 1) a JOIN (SELECT day, count(*) AS messages, avg((altitude IS NOT NULL)::INT) AS baro,
+     avg((geoaltitude IS NOT NULL)::INT) AS geo, avg(onground::INT) AS ground FROM fresh GROUP BY 1) b USING (day)
+   JOIN (SELECT day, count(DISTINCT icao24) AS aircraft, count(DISTINCT icao24 || '_' || leg_no) AS legs, count(*) AS messages_in_legs FROM smoothed GROUP BY 1) c USING (day)
+   JOIN (SELECT day, count(*) FILTER (t2 - t > 10) AS gaps FROM fix GROUP BY 1) h USING (day)
+   JOIN (SELECT day, count(*) AS near FROM num GROUP BY 1) j USING (day) JOIN (SELECT day, count(*) AS kept FROM kept GROUP BY 1) k USING (day)
+   LEFT JOIN (SELECT day, count(*) AS outages, sum(b - a) AS outage_s FROM silence s WHERE EXISTS (SELECT 1 FROM flights f WHERE f.day = s.day AND f.t_first < s.a AND f.t_last > s.b) GROUP BY 1) o USING (day)""",
+   "rep", "fresh", "smoothed", "fix", "num", "kept", "silence", "flights"))
 def d1(spark, d):
     raw = q_clean._reports(spark, d)
+    near = q_clean._fresh_sec(spark, d)
     clean = cut_lineage(q_clean.clean(spark, d))
-    out = audit.audit_days(raw, cl.fresh_reports(raw), clean, gr.leg_to_grid(clean), gr.report_gaps(clean))
-    return rounded(out.select("day", "rows_in_file", "messages", "aircraft", "legs", "gaps_over_10s", "stale_position_share", "baro_alt_share"))
+    out = audit.audit_days(raw, cl.fresh_reports(raw), near, cl.drop_jumps(near), clean, gr.leg_to_grid(clean), gr.report_gaps(clean), q_clean.c18(spark, d))
+    return rounded(out.select("day", "rows_in_file", "messages", "aircraft", "legs", "messages_in_legs", "dropped_jumps", "gaps_over_10s", "outages", "outage_s",
+                              "stale_position_share", "baro_alt_share", "geo_alt_share", "onground_share"))
 
 
 @query("d2_profile_detection")
