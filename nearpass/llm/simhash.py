@@ -97,7 +97,8 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     linked = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
     rooted = checkpointed(nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(best, "root").select("fp", "component_id")
+    # a large component is one hot root: as a stage of its own the join can be split
+    label = checkpointed(rooted.join(best, "root").select("fp", "component_id"))
     return own.join(label, "fp").select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

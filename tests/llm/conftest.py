@@ -8,4 +8,5 @@ def spark(tmp_path_factory):
     s = build_session("local[4]", "tests", **{"spark.driver.memory": "4g"})
     if s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    s.conf.set("spark.sql.shuffle.partitions", "3")  # small tables
     yield s
