@@ -85,8 +85,11 @@ def windows(data: np.ndarray, start: np.ndarray, room: np.ndarray, size: int = W
     return np.where(step < room[:, None], np.append(data, np.uint8(0))[at], np.uint8(0))
 
 
-def fit(texts: list[bytes], labels: list[str], epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCNN:
-    """Train the network with Adam; some windows are shortened so that short texts are known as well."""
+def fit(texts: list[bytes], labels: list[str], epochs: int = 4, least_steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCNN:
+    """Train the network with Adam; some windows are shortened so that short texts are known as well.
+
+    A small sample is gone through more often, for ``least_steps`` steps at least.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     y = np.array([names.index(v) for v in labels])
@@ -97,7 +100,7 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 4, batch: int = 64,
                   rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
     params = [net.weight, net.bias, *net.filters.values()]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(x)))):
         order = rng.permutation(len(x))
         for i in range(0, len(order), batch):
             xb, yb = x[order[i:i + batch]], y[order[i:i + batch]]
