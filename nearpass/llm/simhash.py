@@ -107,7 +107,11 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Documents with a null id are kept only if no document of their component has an id, one of them in that case.
     """
-    label = simhash_components(docs, text, doc_id, **how)
+    return keep_smallest(docs, simhash_components(docs, text, doc_id, **how), doc_id)
+
+
+def keep_smallest(docs: DataFrame, label: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows whose id is the ``component_id`` that the label gives it, each id once."""
     mine = unused(docs, "_id")
     first = label.filter(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias(mine)).distinct()
     kept = docs.join(first.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col(mine)), "left_semi")
