@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearpass.llm import bpe, langid, mixing, repetition, search, sharding, simhash, tokencount, toxicity, urls
-from nearpass.llm.sql import BM25, URL_FILTER
+from nearpass.llm import bpe, langid, linededup, mixing, repetition, search, sharding, simhash, tokencount, toxicity, urls
+from nearpass.llm.sql import BM25, LINE_DEDUP, URL_FILTER
 from nearpass.llm.common import held_out, table
 
 #: Vocabulary of the registered queries; operators take any file's path.
@@ -122,3 +122,14 @@ def op4_bm25_whole(spark, sf_dir):
     """The ten documents most like each document whose id is divisible by 20, by all terms of its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search.search(docs, docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+@query
+def op13_line_dedup(spark, sf_dir):
+    """Lines of every document before and after lines that ten documents share go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = linededup.drop_lines(docs, min_docs=10, least_chars=1, keep_first=False)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op13_line_dedup"] = LINE_DEDUP

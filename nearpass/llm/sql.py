@@ -57,3 +57,14 @@ hits AS (SELECT q, p.doc_id, sum(impact) AS score FROM asked JOIN weighed p USIN
 SELECT q AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, CAST(score AS DOUBLE) / 1000000 AS score FROM hits WHERE score > 0
 WINDOW w AS (PARTITION BY q ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10
 """
+
+LINE_DEDUP = r"""
+WITH cut AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS MATERIALIZED (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM cut),
+keyed AS MATERIALIZED (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+shared AS MATERIALIZED (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS MATERIALIZED (SELECT k.*, s.key IS NOT NULL AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
