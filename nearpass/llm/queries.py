@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearpass.llm import bpe, langid, linededup, mixing, repetition, search, sharding, simhash, tokencount, toxicity, urls
-from nearpass.llm.sql import BM25, LINE_DEDUP, URL_FILTER
+from nearpass.llm import bitslices, bpe, langid, linededup, mixing, repetition, search, sharding, simhash, tokencount, toxicity, urls, vectorcodes
+from nearpass.llm.sql import BM25, LEXICAL, LINE_DEDUP, URL_FILTER, VECTOR_CODES
 from nearpass.llm.common import held_out, table
 
 #: Vocabulary of the registered queries; operators take any file's path.
@@ -133,3 +134,27 @@ def op13_line_dedup(spark, sf_dir):
 
 
 SQL["op13_line_dedup"] = LINE_DEDUP
+
+
+@query
+def op11_orchard_codes(spark, sf_dir):
+    """Product codes of all vectors, their errors and a digest of the codebooks."""
+    rows = vectorcodes.whole_vectors(table(spark, sf_dir, "embeddings"))
+    books = vectorcodes.train(rows)
+    digest = hashlib.sha256(",".join(str(v) for b in books for v in b.ravel().tolist()).encode()).hexdigest()
+    done = vectorcodes.with_label_error(vectorcodes.encode(rows, books))
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return done.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+SQL["op11_orchard_codes"] = VECTOR_CODES
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    """The ten documents of highest score for every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return bitslices.search(docs, items, query_id="item_id").withColumnRenamed("query_id", "item_id")
+
+
+SQL["op12_lexical_search"] = LEXICAL

@@ -68,3 +68,38 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+# Scale 4096, eight parts, sixteen entries, six rounds and a last assignment.
+_ROUND = """
+far{i} AS MATERIALIZED (SELECT row_no, d.part, c.entry, sum((v - c.value) * (v - c.value)) AS apart FROM comp d JOIN book{i} c ON d.part = c.part AND d.place = c.place GROUP BY ALL),
+near{i} AS MATERIALIZED (SELECT row_no, part, entry, apart FROM far{i} QUALIFY row_number() OVER (PARTITION BY row_no, part ORDER BY apart, entry) = 1),"""
+_MOVE = """
+mean{i} AS MATERIALIZED (SELECT d.part, entry, place, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS value FROM comp d JOIN near{i} USING (row_no, part) GROUP BY ALL),
+book{j} AS MATERIALIZED (SELECT part, entry, place, coalesce(m.value, b.value) AS value FROM book{i} b LEFT JOIN mean{i} m USING (part, entry, place)),"""
+VECTOR_CODES = """
+WITH fit AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row_no, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+flat AS MATERIALIZED (SELECT row_no, CAST(floor(4096 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v, generate_subscripts(embedding, 1) - 1 AS k, len(embedding) // 8 AS wide FROM fit),
+comp AS MATERIALIZED (SELECT row_no, k // wide AS part, k % wide AS place, v FROM flat),
+book0 AS MATERIALIZED (SELECT part, row_no - 1 AS entry, place, v AS value FROM comp WHERE row_no <= 16),""" + "".join(
+    _ROUND.format(i=i) + (_MOVE.format(i=i, j=i + 1) if i < 6 else "") for i in range(7)) + """
+digest AS (SELECT sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM book6),
+coded AS MATERIALIZED (SELECT row_no, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(apart) AS BIGINT) AS error FROM near6 GROUP BY row_no)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN fit USING (row_no) CROSS JOIN digest
+"""
+
+LEXICAL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')) AS term FROM documents),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+len AS MATERIALIZED (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY doc_id),
+whole AS MATERIALIZED (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM len),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')) AS term FROM benchmark)),
+freq AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post CROSS JOIN whole GROUP BY term),
+short AS MATERIALIZED (SELECT doc_id, 100 - 90 + ((90 * n * n_docs) // n_terms) AS m FROM len CROSS JOIN whole),
+hits AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN freq USING (term) JOIN post USING (term) JOIN short USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER k AS INTEGER) AS rank, doc_id, score FROM hits WHERE score > 0
+WINDOW k AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER k <= 10
+"""
