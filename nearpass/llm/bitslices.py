@@ -259,6 +259,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
     results = [spark.createDataFrame([], f"query_id {queries.schema[query_id].dataType.simpleString()}, rank int, doc_id {kind}, score long")]
     for b in range(n_blocks):
         block = asked.filter(F.pmod(F.xxhash64("query_id", "text"), F.lit(n_blocks)) == b).orderBy("query_id", "text").collect()  # QUERY_BYTES on average
+        if not block:
+            continue
         texts = [count_terms((r["text"] or "").encode()) for r in block]
         terms = sorted(set().union(*texts))
         number = {t: i for i, t in enumerate(terms)}
