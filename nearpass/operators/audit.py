@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import flat_distance
+from ..functions.plan import cut_lineage
 from ..settings import BASELINE, DETECTION, Airport, Detection
+from .quantiles import grouped_quantiles
 
 
 def audit_days(raw: DataFrame, fresh: DataFrame, near: DataFrame, kept: DataFrame, clean: DataFrame, grid: DataFrame, gaps: DataFrame,
@@ -63,11 +65,13 @@ def detect_profile(reports: DataFrame, airport: Airport, cfg: Detection = DETECT
     legs = p.withColumn("_last", last).groupBy("day", "icao24", "leg").agg(
         F.max_by(F.struct("d", "h"), "timestamp").alias("z"),
         F.bool_or(F.col("onground") & (F.col("_last") - F.col("t") <= cfg.end_lookback_s)).alias("ground"))
-    low = legs.filter((F.col("z.d") < cfg.end_radius_nm) & (F.col("z.h") < cfg.end_height_ft)).agg(
-        F.count(F.lit(1)).alias("legs_ending_low"), F.avg(F.col("ground").cast("double")).alias("ground_visible_share"),
-        F.percentile("z.h", F.lit(cfg.floor_percentile)).alias("end_height_p_ft")).withColumn("k", F.lit(1))
-    speed = p.filter(fin).agg(F.count("groundspeed").alias("final_samples"), F.percentile("groundspeed", F.lit(0.5)).alias("final_gs_median_kt")).withColumn("k", F.lit(1))
-    out = speed.join(low, "k").drop("k")
+    low = cut_lineage(legs.filter((F.col("z.d") < cfg.end_radius_nm) & (F.col("z.h") < cfg.end_height_ft)).select(F.col("z.h").alias("end_height"), "ground"))
+    final = cut_lineage(p.filter(fin).select("groundspeed"))
+    share = low.agg(F.count(F.lit(1)).alias("legs_ending_low"), F.avg(F.col("ground").cast("double")).alias("ground_visible_share"))
+    height = grouped_quantiles(low, ["end_height"], [cfg.floor_percentile]).select(F.get("end_height", F.lit(0)).alias("end_height_p_ft"))
+    speed = grouped_quantiles(final, ["groundspeed"], [0.5]).select(
+        F.coalesce("n_groundspeed", F.lit(0).cast("long")).alias("final_samples"), F.get("groundspeed", F.lit(0)).alias("final_gs_median_kt"))
+    out = speed.crossJoin(F.broadcast(share)).crossJoin(F.broadcast(height))  # one row each
     return out.withColumns({
         "preset": F.when(F.col("final_samples") >= cfg.min_samples,
                          F.when(F.col("final_gs_median_kt") >= cfg.air_carrier_gs_kt, "air_carrier").otherwise("training_ga")),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dist import count_quantile, count_terms, hash_uniform, norm_ppf, wilson
-from ..functions.plan import pin
+from ..functions.plan import cut_lineage, pin
 from ..functions.timefns import iso_week
 from ..settings import BASELINE, Baseline
 from .bootstrap import ks_uniform
 from .glm import CountModel, fit_count_model
+from .quantiles import grouped_quantiles
 from .scan import running_sum
 
 
@@ -81,8 +82,8 @@ def phase1(df: DataFrame, metric: str, *, id_col: str = "window_id", cfg: Baseli
 # --------------------------------------------------------------- strata ----
 
 def exposure_terciles(df: DataFrame) -> list:
-    row = df.filter(F.col("pair_hours") > 0).agg(F.percentile("pair_hours", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first()
-    return list(row["q"] or [0.0, 0.0])
+    row = grouped_quantiles(df.filter(F.col("pair_hours") > 0).select("pair_hours"), ["pair_hours"], [1 / 3, 2 / 3]).first()
+    return list((row and row["pair_hours"]) or [0.0, 0.0])
 
 
 def stratum(terciles, cfg: Baseline = BASELINE) -> Column:
@@ -117,9 +118,10 @@ def crosscheck(df: DataFrame, model: CountModel, terciles, cfg: Baseline = BASEL
     """Empirical 95th percentile against the mean model limit per stratum."""
     d = df.filter(F.col("pair_hours") > 0)
     d = pin(d, {"_mu": expected(d, model)}).withColumn("_lim", count_quantile(cfg.warning, F.col("_mu"), F.lit(float(model.alpha))))
-    out = d.groupBy(stratum(terciles, cfg).alias("stratum")).agg(
-        F.count(F.lit(1)).alias("n_windows"), F.percentile(model.metric, F.lit(cfg.warning)).alias("empirical_limit95"),
-        F.avg("_lim").alias("model_limit95_mean")).filter(F.col("n_windows") >= cfg.strata_min)
+    d = cut_lineage(d.select(stratum(terciles, cfg).alias("stratum"), F.col(model.metric).cast("double").alias("y"), "_lim"))
+    limit = grouped_quantiles(d, ["y"], [cfg.warning], ["stratum"]).select("stratum", F.get("y", F.lit(0)).alias("empirical_limit95"))
+    out = d.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("_lim").alias("model_limit95_mean")).filter(
+        F.col("n_windows") >= cfg.strata_min).join(limit, "stratum")
     diff = F.abs(F.col("empirical_limit95") - F.col("model_limit95_mean"))
     tol = F.greatest(F.lit(1.0), cfg.crosscheck_rel * F.greatest("empirical_limit95", "model_limit95_mean"))
     return out.withColumn("agree", diff <= tol)

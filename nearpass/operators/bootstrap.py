@@ -3,19 +3,44 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.dist import hash_int, norm_cdf
+from ..functions.dist import norm_cdf
 from .scan import running_sum
 
 
-def draw(seed, rep, slot, n) -> Column:
-    """Index of the day drawn into one slot of one replicate."""
-    return hash_int(seed, rep, slot) % n
+#: Replicates that a task draws at once.
+BLOCK = 125
+
+
+@lru_cache(maxsize=64)
+def day_counts(seed, first: int, last: int, n: int) -> np.ndarray:
+    """How often replicates first to last - 1 draw each of n days: (replicates, days). Kept while the worker lives."""
+    out = np.empty((last - first, n))
+    for rep in range(first, last):
+        drawn = [int(md5(f"{seed}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % n for slot in range(n)]
+        out[rep - first] = np.bincount(drawn, minlength=n)
+    return out
+
+
+def _resampled_sums(reps: int, seed):
+    """Function of (first replicate, arrays of day values): the value sums of every replicate of the block."""
+
+    @pandas_udf("array<array<double>>")
+    def sums(first: pd.Series, *days: pd.Series) -> pd.Series:
+        out = []
+        for i, begin in enumerate(first):
+            per_day = np.column_stack([d.iloc[i] for d in days])
+            out.append((day_counts(seed, int(begin), min(int(begin) + BLOCK, reps), len(per_day)) @ per_day).tolist())
+        return pd.Series(out)
+
+    return sums
 
 
 def day_bootstrap(per_day: DataFrame, values, stats: dict, *, reps: int, seed, group=(), day: str = "day",
@@ -24,8 +49,9 @@ def day_bootstrap(per_day: DataFrame, values, stats: dict, *, reps: int, seed, g
 
     ``per_day`` has one row per (group, day); ``stats`` maps a name to a
     function of {value name: summed column}. All stats of a group share the
-    same day draws. The per-day sums of a group (one entry per day) travel as
-    one array; the replicates are spread over the cluster.
+    same day draws. The replicates are cut into blocks: a block's matrix of day
+    counts, drawn by hash where it is used, is multiplied with the day sums, so
+    a group's days travel once per block, not once per replicate.
     """
     group, values = list(group), list(values)
     days = F.array_sort(F.collect_list(F.struct(F.col(day), *[F.col(v).cast("double").alias(v) for v in values])))
@@ -37,16 +63,15 @@ def day_bootstrap(per_day: DataFrame, values, stats: dict, *, reps: int, seed, g
     total = {v: F.aggregate(F.col("_days"), F.lit(0.0), plus(v)) for v in values}
     base = base.withColumns({f"_t_{v}": c for v, c in total.items()})
     base = base.withColumns({n: fn({v: F.col(f"_t_{v}") for v in values}) for n, fn in stats.items()})
-    rep = base.select(*group, *stats, "_days", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
-    rep = rep.repartition("_rep")
-    zero = F.struct(*[F.lit(0.0).alias(v) for v in values])
-
-    def add(acc, slot):
-        x = F.get(F.col("_days"), draw(seed, F.col("_rep"), slot, F.col("_n")).cast("int"))
-        return F.struct(*[(acc[v] + x[v]).alias(v) for v in values])
-
-    rep = rep.withColumn("_s", F.aggregate(F.sequence(F.lit(0), F.col("_n") - 1), zero, add))
-    rep = rep.select(*group, *stats, "_n", *[fn({v: F.col("_s")[v] for v in values}).alias(f"_b_{n}") for n, fn in stats.items()])
+    def of(v):
+        return lambda x: F.coalesce(x[v], F.lit(0.0))
+
+    each = [F.transform("_days", of(v)).alias(f"_d_{v}") for v in values]
+    # a group without days has one row too, with no value
+    blocks = base.select(*group, *stats, "_n", *each, F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK))).alias("_first"))
+    sums = _resampled_sums(reps, seed)("_first", *[f"_d_{v}" for v in values])
+    rep = blocks.repartition(-(-reps // BLOCK)).select(*group, *stats, "_n", F.explode(F.when(F.col("_n") > 0, sums).otherwise(F.array(F.array(*[F.lit(0.0)] * len(values))))).alias("_s"))
+    rep = rep.select(*group, *stats, "_n", *[fn({v: F.get("_s", F.lit(i)) for i, v in enumerate(values)}).alias(f"_b_{n}") for n, fn in stats.items()])
     agg = []
     for n in stats:
         ok = F.col("_n") >= 2

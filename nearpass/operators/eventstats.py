@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dist import norm_cdf, wilson
 from ..functions.plan import cut_lineage
 from ..settings import BASELINE, Baseline
-from .bootstrap import draw, holm, ks_uniform, ratio_bootstrap, signed_rank
+from .bootstrap import day_counts, holm, ks_uniform, ratio_bootstrap, signed_rank
+from .quantiles import grouped_quantiles
 
 SUFFIXES = ("expected", "oe", "z", "zmid", "p_upper", "exceed95", "exceed99", "pct")
 STATE = ("n_aircraft", "pair_hours", "quality", "flow", "local_hour", "partial_coverage")
@@ -49,56 +52,97 @@ def event_sets(risk: DataFrame, metric: str = "T1_any", types=("go_around", "tou
 
 # ------------------------------------------------------------ rate ratio ----
 
+#: Replicates times groups whose rate ratios take their steps together.
+CELLS = 2_000_000
+_WIDE = 512
+
+
+def _likelihood(rows: DataFrame, theta: np.ndarray, days: list[int], reps: int, seed) -> np.ndarray:
+    """Sums over events for every (group, replicate): with counts of days as weights, the score and information at theta.
+
+    A task weights its own events with the day counts of all replicates and sends one row per group and replicate, whatever its number of events.
+    """
+
+    def add(batches):
+        total = np.zeros((len(days), reps + 1, 6))
+        for batch in batches:
+            g, i, a, b, e1, e2, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "a", "b", "e1", "e2", "x"))
+            for k in np.unique(g):
+                mine = np.flatnonzero(g == k)
+                drawn = day_counts(seed, 0, reps, days[k]) if days[k] >= 2 and reps else np.zeros((reps, days[k]))
+                for at in np.array_split(mine, -(-len(mine) // _WIDE)):
+                    m = np.vstack((drawn[:, i[at]], np.ones((1, len(at)))))  # the point value comes last
+                    odds = np.exp(theta[k])[:, None] * x[at]
+                    q, n = odds / (1 + odds), a[at] + b[at]
+                    total[k, :, 0] += (m * (b[at] - n * q)).sum(axis=1)
+                    total[k, :, 1] += (m * n * q * (1 - q)).sum(axis=1)
+                    total[k, :, 2:] += m @ np.column_stack((a[at], b[at], e1[at], e2[at]))
+        k, r = (v.ravel() for v in np.indices(total.shape[:2]))
+        some = total[k, r, 4] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(k[some].astype(np.int32)), pa.array(r[some].astype(np.int32)), *[pa.array(total[k[some], r[some], c]) for c in range(6)]],
+                                         names=["g", "r", *"uvwxyz"])
+
+    out = np.zeros((len(days), reps + 1, 6))
+    for row in rows.mapInArrow(add, "g int, r int, u double, v double, w double, x double, y double, z double").groupBy("g", "r").agg(*[F.sum(c).alias(c) for c in "uvwxyz"]).collect():
+        out[row["g"], row["r"]] = row[2:]  # CELLS rows at most
+    return out
+
+
 def irr(df: DataFrame, *, reps: int, seed, group=(), rounds: int = 6, day: str = "day",
         cols=("pre", "post", "e_pre", "e_post")) -> DataFrame:
     """Post/pre rate ratio by conditional likelihood, with a day-cluster interval.
 
     Given an event's total, its post count is binomial with odds
-    theta * e_post / e_pre. Every replicate (and the point value, replicate -1)
-    has its own theta; all thetas take Newton steps together, one grouped sum
-    per step, on data kept partitioned by (group, replicate). No event list is
-    ever gathered in one place. ``irr_converged`` tells whether the point value's
-    last step was below 1e-6; values of larger last steps are null.
+    theta * e_post / e_pre. Every replicate, and the point value, has its own
+    theta; all thetas take Newton steps together, one job per step. Events stay
+    where they are: a task weights its own with the day counts of all
+    replicates and sends the sums. Groups are taken in batches of ``CELLS``
+    thetas. ``irr_converged`` tells whether the point value's last step was
+    below 1e-6; values of larger last steps are null.
     """
     group = list(group)
+    spark = df.sparkSession
     pre, post, e1, e2 = (F.col(c).cast("double") for c in cols)
     ok = df.filter(pre.isNotNull() & post.isNotNull() & (e1 > 0) & (e2 > 0) & (pre + post > 0))
     ok = ok.select(*group, F.col(day).alias("day"), pre.alias("a"), post.alias("b"), e1.alias("e1"), e2.alias("e2"))
     # equal exposure ratios on one day enter the likelihood only through their totals
-    ok = ok.groupBy(*group, "day", (F.col("e2") / F.col("e1")).alias("x")).agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2"))
-    ok = cut_lineage(ok)
-    days = ok.select(*group, "day").distinct()
-    listed = (days.groupBy(*group) if group else days.groupBy()).agg(F.array_sort(F.collect_set("day")).alias("_d")).withColumn("_n", F.size("_d"))
-    reps_ = listed.select(*group, "_d", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition("rep")
-    slots = reps_.select(*group, "_d", "_n", "rep", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("s"))
-    picks = slots.filter(F.col("_n") >= 2).select(*group, "rep", F.get("_d", draw(seed, F.col("rep"), F.col("s"), F.col("_n")).cast("int")).alias("day"))
-    picks = picks.groupBy(*group, "rep", "day").agg(F.count(F.lit(1)).alias("m"))
-    every = days.withColumns({"rep": F.lit(-1), "m": F.lit(1).cast("bigint")})
-    key = [*group, "rep"]
-    rows = cut_lineage(picks.unionByName(every).join(ok, [*group, "day"]).repartition(*key))
-    m = F.col("m")
-    theta = rows.groupBy(*key).agg(
-        F.sum(m * F.col("a")).alias("sa"), F.sum(m * F.col("b")).alias("sb"),
-        F.sum(m * F.col("e1")).alias("s1"), F.sum(m * F.col("e2")).alias("s2"))
-    start = F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.log(F.col("sb") * F.col("s1") / (F.col("sa") * F.col("s2"))))
-    theta = theta.select(*key, "sa", "sb", start.alias("th"), F.lit(0.0).alias("last"))
-    for _ in range(rounds):
-        odds = F.exp("th") * F.col("x")
-        q = odds / (1 + odds)
-        n = F.col("a") + F.col("b")
-        step = rows.join(theta, key).groupBy(*key, "sa", "sb", "th").agg(
-            F.sum(m * (F.col("b") - n * q)).alias("g"), F.sum(m * n * q * (1 - q)).alias("h"))
-        move = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide("g", "h")))
-        theta = step.select(*key, "sa", "sb", (F.col("th") + move).alias("th"), move.alias("last"))
-    value = F.when(F.col("sb") == 0, 0.0).when(F.col("sa") == 0, F.lit(float("inf"))).when(F.abs("last") < 1e-6, F.exp("th"))
-    out = theta.withColumn("v", value)
-    boot = F.when((F.col("rep") >= 0) & (F.col("v") < float("inf")), F.col("v"))
-    agg = [F.max(F.when(F.col("rep") == -1, F.col("v"))).alias("irr"), F.max(F.when(F.col("rep") == -1, F.col("v").isNotNull())).alias("irr_converged"),
-           F.percentile(boot, F.lit(0.025)).alias("irr_lo"), F.percentile(boot, F.lit(0.975)).alias("irr_hi")]
-    out = out.groupBy(*group).agg(*agg) if group else out.agg(*agg)
-    finite = F.col("irr") < float("inf")
-    return out.withColumns({"irr_lo": F.when(finite, F.col("irr_lo")), "irr_hi": F.when(finite, F.col("irr_hi"))})
+    ok = cut_lineage(ok.groupBy(*group, "day", (F.col("e2") / F.col("e1")).alias("x")).agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2")))
+    key = [F.col(c) for c in group] or [F.lit(0)]
+    days = ok.select(*group, "day").distinct().withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy("day")) - 1)
+    placed = ok.join(days, [*group, "day"])
+    listed = days.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    batches = max(1, -(-listed.count() * (reps + 1) // CELLS))
+    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    columns = "".join(f"`{c}` {kind[c]}, " for c in group)
+    results = []
+    for b in range(batches):
+        here = (F.pmod(F.xxhash64(*key), F.lit(batches)) == b) if batches > 1 else F.lit(True)
+        groups = listed.filter(here).collect()  # CELLS thetas at most, on average
+        names = spark.createDataFrame([(*r[:-1], k) for k, r in enumerate(groups)], f"{columns}g int")
+        rows = (placed.join(F.broadcast(names), group) if group else placed.withColumn("g", F.lit(0))).select("g", "i", "a", "b", "e1", "e2", "x")
+        rows = cut_lineage(rows)
+        sizes = [r["_n"] for r in groups]
+        theta = np.zeros((len(groups), reps + 1))
+        last = np.zeros_like(theta)
+        sums = _likelihood(rows, theta, sizes, reps, seed)
+        a, b_, x1, x2 = (sums[..., c] for c in (2, 3, 4, 5))
+        fit = (a > 0) & (b_ > 0)
+        theta[fit] = np.log(b_[fit] * x1[fit] / (a[fit] * x2[fit]))
+        for _ in range(rounds if fit.any() else 0):
+            sums = _likelihood(rows, theta, sizes, reps, seed)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                last = np.where(fit, np.clip(sums[..., 0] / sums[..., 1], -2.0, 2.0), 0.0)
+            theta = np.where(fit & np.isfinite(last), theta + last, theta)
+        value = np.where(b_ == 0, 0.0, np.where(a == 0, np.inf, np.where(np.abs(last) < 1e-6, np.exp(theta), np.nan)))
+        value[x1 <= 0] = np.nan  # no day was drawn: fewer than two days
+        for k, r in enumerate(groups):
+            point, boot = value[k, -1], value[k, :-1][np.isfinite(value[k, :-1])]
+            lo, hi = np.quantile(boot, (0.025, 0.975)).tolist() if len(boot) and np.isfinite(point) else (None, None)
+            results.append((*r[:-1], None if np.isnan(point) else float(point), bool(not np.isnan(point)), lo, hi))
+    if not group and not results:
+        results = [(None, None, None, None)]
+    return spark.createDataFrame(results, f"{columns}irr double, irr_converged boolean, irr_lo double, irr_hi double")
 
 
 def long_metrics(risk: DataFrame, metrics, keep=("event_id", "day")) -> DataFrame:
@@ -179,9 +223,8 @@ def continuous_endpoint(risk: DataFrame, metric: str) -> DataFrame:
     """Medians before and after, paired and one-sample rank tests."""
     r = risk.filter(~F.col("excluded")).withColumns({
         "k": F.lit(1), "p": F.col(f"pre_{metric}"), "q": F.col(f"post_{metric}")}).withColumn("d", F.col("q") - F.col("p"))
-    out = r.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n_events"), F.percentile("p", F.lit(0.5)).alias("median_pre"), F.percentile("q", F.lit(0.5)).alias("median_post"),
-        *[F.avg(f"{w}_{metric}_z").alias(f"z_mean_{w}") for w in ("pre", "post")])
+    half = grouped_quantiles(r, ["p", "q"], [0.5], ["k"]).select("k", F.get("p", F.lit(0)).alias("median_pre"), F.get("q", F.lit(0)).alias("median_post"))
+    out = r.groupBy("k").agg(F.count(F.lit(1)).alias("n_events"), *[F.avg(f"{w}_{metric}_z").alias(f"z_mean_{w}") for w in ("pre", "post")]).join(half, "k", "left")
     for name, col in (("paired", "d"), ("pre", f"pre_{metric}_z"), ("post", f"post_{metric}_z")):
         t = signed_rank(r, col, ("k",)).select("k", F.col("p_value").alias(f"wilcoxon_{name}_p"))
         out = out.join(t, "k", "left")

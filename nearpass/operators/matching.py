@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dist import hash_int, norm_cdf, wilson
+from ..functions.plan import cut_lineage
 from ..functions.timefns import day_text, local_hour
 from .bootstrap import day_bootstrap, safe_ratio, signed_rank
 from .intervals import interval_sums
+from .quantiles import grouped_quantiles
 from .scan import number_rows, running_sum
 
 MEASURES = {
@@ -41,13 +43,14 @@ def paired_windows(win: DataFrame, events: DataFrame, cols, windows=("pre", "pos
 
 def add_traffic_band(g: DataFrame, c: DataFrame):
     """(events, controls) with the tercile band of the controls' before-window traffic."""
-    cuts = c.filter(~F.col("excluded")).agg(
-        F.percentile("pre_pair_hours", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.count("pre_pair_hours").alias("n")).first()
+    used = cut_lineage(c.filter(~F.col("excluded")).select("pre_pair_hours"))
+    cuts = grouped_quantiles(used, ["pre_pair_hours"], [1 / 3, 2 / 3]).first()
     v = F.col("pre_pair_hours")
-    if cuts["n"] < 3:
+    if not cuts or (cuts["n_pre_pair_hours"] or 0) < 3:
         band = F.lit("all")
     else:
-        band = F.when(v <= cuts["q"][0], "low").when(v <= cuts["q"][1], "mid").otherwise("high")
+        low, high = cuts["pre_pair_hours"]
+        band = F.when(v <= low, "low").when(v <= high, "mid").otherwise("high")
     return g.withColumn("pre_traffic_band", band), c.withColumn("pre_traffic_band", band)
 
 
@@ -65,11 +68,11 @@ def usable(df: DataFrame, frm: str = "pre", to: str = "post") -> DataFrame:
     return df.filter(~F.col(f"{frm}_bad") & ~F.col(f"{to}_bad"))
 
 
-def _long(df, measures, frm, to, weight):
+def _long(df, measures, frm, to, weight, group):
     rows = F.array(*[
         F.struct(F.lit(k).alias("measure"), F.col(f"{frm}_{c}").cast("double").alias("v0"), F.col(f"{to}_{c}").cast("double").alias("v1"))
         for k, c in measures.items()])
-    return df.select("event_id", "day", weight.alias("w"), F.explode(rows).alias("_m")).select("event_id", "day", "w", "_m.*")
+    return df.select(*group, "event_id", "day", weight.alias("w"), F.explode(rows).alias("_m")).select(*group, "event_id", "day", "w", "_m.*")
 
 
 RATIOS = {
@@ -79,36 +82,38 @@ RATIOS = {
 }
 
 
-def change_summary(g: DataFrame, c: DataFrame, *, reps: int, seed, keys=("hour",), frm="pre", to="post", measures=None) -> DataFrame:
+def change_summary(g: DataFrame, c: DataFrame, *, reps: int, seed, keys=("hour",), frm="pre", to="post", measures=None, group=()) -> DataFrame:
     """Change around events, the same around weighted controls, and the ratio of the two.
 
-    All measures in one pass; the three ratios of a measure share the same day resamples.
+    All measures in one pass; the three ratios of a measure share the same day resamples. With ``group`` the rows of both
+    frames belong to analyses of their own (columns of both), which are matched, resampled and tested side by side.
     """
-    measures = MEASURES if measures is None else measures
+    measures, group = MEASURES if measures is None else measures, list(group)
+    keys, row = [*group, *keys], [*group, "measure"]
     g0, c0 = usable(g, frm, to), usable(c, frm, to)
     kept, weighted = match_weights(g0, c0, keys)
     weighted = weighted.filter("w > 0")
-    gl = _long(kept, measures, frm, to, F.lit(1.0)).withColumn("is_g", F.lit(True))
-    cl = _long(weighted, measures, frm, to, F.col("w")).withColumn("is_g", F.lit(False))
+    gl = _long(kept, measures, frm, to, F.lit(1.0), group).withColumn("is_g", F.lit(True))
+    cl = _long(weighted, measures, frm, to, F.col("w"), group).withColumn("is_g", F.lit(False))
     both = gl.unionByName(cl)
     is_g, v0, v1 = F.col("is_g"), F.coalesce("v0", F.lit(0.0)), F.coalesce("v1", F.lit(0.0))
-    per_day = both.groupBy("measure", "day").agg(
+    per_day = both.groupBy(*row, "day").agg(
         F.sum(F.when(is_g, v0).otherwise(0.0)).alias("gp"), F.sum(F.when(is_g, v1).otherwise(0.0)).alias("ga"),
         F.sum(F.when(~is_g, v0 * F.col("w")).otherwise(0.0)).alias("cp"), F.sum(F.when(~is_g, v1 * F.col("w")).otherwise(0.0)).alias("ca"))
-    ci = day_bootstrap(per_day, ["gp", "ga", "cp", "ca"], RATIOS, reps=reps, seed=seed, group=["measure"])
+    ci = day_bootstrap(per_day, ["gp", "ga", "cp", "ca"], RATIOS, reps=reps, seed=seed, group=row)
     wsum = F.sum(F.when(~is_g, F.col("w")))
-    out = both.groupBy("measure").agg(
+    out = both.groupBy(*row).agg(
         F.count_if(is_g).alias("n_events"), F.count_if(~is_g).alias("n_controls"),
         F.sum(F.when(is_g, F.col("v0"))).alias("before_total"), F.sum(F.when(is_g, F.col("v1"))).alias("after_total"),
         F.avg(F.when(is_g, F.col("v0"))).alias("ga_mean_before"), F.avg(F.when(is_g, F.col("v1"))).alias("ga_mean_after"),
         (F.sum(F.when(~is_g, F.col("v0") * F.col("w"))) / wsum).alias("normal_mean_before"),
         (F.sum(F.when(~is_g, F.col("v1") * F.col("w"))) / wsum).alias("normal_mean_after"))
-    lost = g0.join(c0.select(*keys).distinct(), list(keys), "left_anti").agg(F.count(F.lit(1)).alias("n_unmatched"))
-    marks = F.array(*[F.lit(k) for k in measures])
-    lost = lost.select("n_unmatched", F.explode(marks).alias("measure"))
-    test = signed_rank(gl.withColumn("d", F.col("v1") - F.col("v0")), "d", ["measure"]).select("measure", F.col("p_value").alias("paired_p"))
+    lost = g0.join(c0.select(*keys).distinct(), keys, "left_anti").groupBy(*group).agg(F.count(F.lit(1)).alias("n_unmatched"))
+    test = signed_rank(gl.withColumn("d", F.col("v1") - F.col("v0")), "d", row).select(*row, F.col("p_value").alias("paired_p"))
     few = F.col("measure").endswith("_any") & (F.col("before_total") + F.col("after_total") < MIN_ENCOUNTERS)
-    return out.join(ci, "measure").join(lost, "measure").join(test, "measure", "left").withColumn("too_few", few)
+    done = out.join(ci, row).join(test, row, "left")
+    done = done.join(lost, group, "left") if group else done.crossJoin(F.broadcast(lost))  # one row
+    return done.withColumn("n_unmatched", F.coalesce("n_unmatched", F.lit(0).cast("bigint"))).withColumn("too_few", few)
 
 
 def placebo(g: DataFrame, c: DataFrame, col: str, *, n_sets: int, seed, keys=("hour",)) -> DataFrame:
@@ -205,33 +210,45 @@ def leave_one_out(g: DataFrame, c: DataFrame, col: str, keys=("hour",)) -> DataF
 
 
 def robustness(g: DataFrame, c: DataFrame, col: str, *, reps: int, seed, extra=()) -> DataFrame:
-    """The ratio against normal under every variation of events, controls and matching."""
-    one = {col: col}
-    variations = [("main", g, c, ("hour",), one), ("hour_and_flow", g, c, ("hour", "flow"), one)]
+    """The ratio against normal under every variation of events, controls and matching.
+
+    A row belongs to each variation whose condition it meets, with that variation's stratum; all variations are one grouped comparison.
+    ``extra`` lists further (label, events, controls) with the columns of the first two frames.
+    """
+    always, hour = F.lit(True), F.col("hour").cast("string")
+    both = lambda cond: (cond, cond)
+    # label -> conditions on events and on controls, stratum, value
+    variations = {"main": (*both(always), hour, col), "hour_and_flow": (*both(always), F.concat_ws("|", hour, F.coalesce("flow", F.lit("?"))), col)}
     if "pre_traffic_band" in g.columns:
-        variations.append(("hour_and_traffic", g, c, ("hour", "pre_traffic_band"), one))
+        variations["hour_and_traffic"] = (*both(always), F.concat_ws("|", hour, F.coalesce("pre_traffic_band", F.lit("?"))), col)
     loo = leave_one_out(g, c, col).filter(F.col("vs_normal_without").isNotNull())
     top = loo.agg(F.min_by("event_id", F.struct(F.round("vs_normal_without", 9), F.col("event_id"))).alias("e")).first()["e"]
     if top is not None:
-        variations.append(("without_most_influential", g.filter(F.col("event_id") != top), c, ("hour",), one))
+        variations["without_most_influential"] = (F.col("event_id") != top, always, hour, col)
     if "cluster_size" in g.columns:
-        variations.append(("isolated_only", g.filter("cluster_size = 1"), c, ("hour",), one))
+        variations["isolated_only"] = (F.col("cluster_size") == 1, always, hour, col)
     if "pre_contaminated" in g.columns:
-        variations.append(("uncontaminated", g.filter(~F.col("pre_contaminated")), c, ("hour",), one))
+        variations["uncontaminated"] = (~F.col("pre_contaminated"), always, hour, col)
     busy = g.groupBy("day").count().agg(F.min_by("day", F.struct(-F.col("count"), F.col("day"))).alias("d")).first()["d"]
     if busy is not None:
-        variations.append(("without_busiest_day", g.filter(F.col("day") != busy), c.filter(F.col("day") != busy), ("hour",), one))
+        variations["without_busiest_day"] = (*both(F.col("day") != busy), hour, col)
     if "pre_T1_any_in_control" in g.columns and "pre_T1_any_in_control" in c.columns:
-        ok = F.coalesce("pre_T1_any_in_control", F.lit(False))
-        variations.append(("normal_before_only", g.filter(ok), c.filter(ok), ("hour",), one))
+        variations["normal_before_only"] = (*both(F.coalesce("pre_T1_any_in_control", F.lit(False))), hour, col)
     if col == "T1_any" and "pre_T1_observed" in g.columns:
-        variations.append(("observed_only", g, c, ("hour",), {col: "T1_observed"}))
-    variations += [(label, gg, cc, ("hour",), one) for label, gg, cc in extra]
-    out = None
-    for label, gg, cc, keys, measures in variations:
-        r = change_summary(gg, cc, reps=reps, seed=seed, keys=keys, measures=measures).withColumn("variation", F.lit(label))
-        out = r if out is None else out.unionByName(r)
-    return out
+        variations["observed_only"] = (*both(always), hour, "T1_observed")
+
+    def tagged(df, side, chosen):
+        rows = [F.when(v[side], F.struct(F.lit(k).alias("variation"), v[2].alias("stratum"), *[F.col(f"{w}_{v[3]}").cast("double").alias(w) for w in ("from", "to")]))
+                for k, v in chosen.items()]
+        named = df.withColumns({f"{a}_{m}": F.col(f"{b}_{m}") for m in {v[3] for v in chosen.values()} for a, b in (("from", "pre"), ("to", "post"))})
+        out = named.select("event_id", "day", "pre_bad", "post_bad", F.explode(F.array_compact(F.array(*rows))).alias("_v"))
+        return out.select("event_id", "day", "_v.variation", "_v.stratum", "pre_bad", "post_bad", F.col("_v.from").alias(f"pre_{col}"), F.col("_v.to").alias(f"post_{col}"))
+
+    gs, cs = tagged(g, 0, variations), tagged(c, 1, variations)
+    for label, gg, cc in extra:
+        one = {label: (*both(always), hour, col)}
+        gs, cs = gs.unionByName(tagged(gg, 0, one)), cs.unionByName(tagged(cc, 1, one))
+    return change_summary(gs, cs, reps=reps, seed=seed, keys=("stratum",), measures={col: col}, group=("variation",))
 
 
 def epoch_by_group(g: DataFrame, c: DataFrame, per_second: DataFrame, values, *, reps: int, seed, keys=("hour",), minutes: int = 30,

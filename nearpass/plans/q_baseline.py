@@ -214,7 +214,7 @@ boot_cte("bboot", "bday", "k", ["a", "b"], ["bday"])
 
 @query("b17_bootstrap_rate", statement(f"SELECT round((SELECT sum(a) / sum(b) FROM bday), 6) AS rate, round(q_lo, 6) AS rate_lo, round(q_hi, 6) AS rate_hi FROM (SELECT {ci('a / b', 'q')} FROM bboot)", "bday", "bboot"))
 def b17(spark, d):
-    return rounded(bs.ratio_bootstrap(exposed(spark, d), "T1_any", "pair_hours", reps=500, seed=SEED, name="rate"))
+    return rounded(bs.ratio_bootstrap(exposed(spark, d), "T1_any", "pair_hours", reps=BASELINE.bootstrap_reps, seed=SEED, name="rate"))
 
 
 @query("b19_ks_uniform", statement(f"""SELECT count(*) AS n, {r('max(greatest(rn / n::DOUBLE - u, u - (rn - 1) / n::DOUBLE)) AS d')} FROM (

@@ -13,7 +13,7 @@ from .registry import cte, query, statement
 from .tidy import r, rounded
 from .views import PAIR_COLS
 
-REPS, SEED = 500, BASELINE.seed
+REPS, SEED = BASELINE.bootstrap_reps, BASELINE.seed
 
 
 def boot_cte(name, src, grp, vals, deps, reps=REPS, seed=SEED):
@@ -91,9 +91,9 @@ def st6(spark, d):
 # conditional-likelihood rate ratio: the point value by Newton steps in plain SQL
 cte("ir", "SELECT day0 AS day, pre_T1_any AS a, post_T1_any AS b, pre_pair_hours AS e1, post_pair_hours AS e2 FROM use WHERE pre_pair_hours > 0 AND post_pair_hours > 0 AND pre_T1_any + post_T1_any > 0", "use")
 cte("ir_days", "SELECT 1 AS k, day FROM ir GROUP BY ALL", "ir")
-boot_cte("ir_unused", "(SELECT k, day, 0 AS z FROM ir_days)", "k", ["z"], ["ir_days"], reps=60)
-cte("ir_m", """SELECT rep, day, count(*)::DOUBLE AS m FROM ir_unused_i x JOIN (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM ir_days) USING (i) GROUP BY ALL
-  UNION ALL SELECT -1, day, 1 FROM ir_days""", "ir_unused_i", "ir_days")
+boot_cte("ir_slot", "(SELECT k, day, 0 AS z FROM ir_days)", "k", ["z"], ["ir_days"], reps=REPS)
+cte("ir_m", """SELECT rep, day, count(*)::DOUBLE AS m FROM ir_slot_i x JOIN (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM ir_days) USING (i) GROUP BY ALL
+  UNION ALL SELECT -1, day, 1 FROM ir_days""", "ir_slot_i", "ir_days")
 cte("ir_x", "SELECT rep, m, a, b, e1, e2 FROM ir_m JOIN ir USING (day)", "ir_m", "ir")
 cte("th0", "SELECT rep, ln(sum(m*b) * sum(m*e1) / (sum(m*a) * sum(m*e2))) AS th FROM ir_x GROUP BY rep", "ir_x")
 for _i in range(7):
@@ -104,7 +104,7 @@ for _i in range(7):
 @query("st4_rate_ratio_mle", statement("SELECT round(exp(th), 5) AS irr FROM th7 WHERE rep = -1", "th7"))
 def st4(spark, d):
     u = risk(spark, d).filter(~F.col("excluded"))
-    out = es.irr(u, reps=1, seed=SEED, cols=("pre_T1_any", "post_T1_any", "pre_pair_hours", "post_pair_hours"))
+    out = es.irr(u, reps=0, seed=SEED, cols=("pre_T1_any", "post_T1_any", "pre_pair_hours", "post_pair_hours"))
     return rounded(out.select("irr"), 5)
 
 
@@ -112,7 +112,7 @@ def st4(spark, d):
    round(quantile_cont(exp(th), 0.975) FILTER (rep >= 0), 5) AS irr_hi FROM th7""", "th7"))
 def st5(spark, d):
     u = risk(spark, d).filter(~F.col("excluded"))
-    return rounded(es.irr(u, reps=60, seed=SEED, cols=("pre_T1_any", "post_T1_any", "pre_pair_hours", "post_pair_hours")).drop("irr_converged"), 5)
+    return rounded(es.irr(u, reps=REPS, seed=SEED, cols=("pre_T1_any", "post_T1_any", "pre_pair_hours", "post_pair_hours")).drop("irr_converged"), 5)
 
 
 # ------------------------------------------------------------ rank tests ----
@@ -178,7 +178,7 @@ def st14(spark, d):
    {r('sum(pre_pair_hours) AS exposure_pre_h', 'sum(post_expected) AS sum_expected_post', 'sum(post_T1_any) / sum(post_expected) AS sir_post')} FROM (
    SELECT 'all' AS event_set, * FROM use UNION ALL SELECT 'in_control_pre', * FROM use WHERE pre_ok UNION ALL SELECT outcome || '_only', * FROM use) GROUP BY 1""", "use"))
 def st11(spark, d):
-    out = es.primary_results(es.event_sets(risk(spark, d)), ["T1_any"], reps=60, seed=SEED)
+    out = es.primary_results(es.event_sets(risk(spark, d)), ["T1_any"], reps=REPS, seed=SEED)
     return rounded(out.select("event_set", "n_events", F.col("sum_pre").cast("bigint").alias("sum_pre"), F.col("sum_post").cast("bigint").alias("sum_post"),
                               "exposure_pre_h", "sum_expected_post", "sir_post"))
 
@@ -187,7 +187,7 @@ cte("ep", """SELECT r.day0 AS day, m AS minute, (SELECT count(*) FROM study s WH
     coalesce((SELECT sum(round(value * 100)) FROM study s WHERE s.event_type = 'view' AND s.t >= r.t0 + m*60 AND s.t < r.t0 + m*60 + 60), 0) / 6000.0 + 0.01 AS e
   FROM risk r, generate_series(-30, 29) g(m)""", "risk", "study")
 cte("epd", "SELECT minute, day, sum(o) AS a, sum(e) AS b FROM ep GROUP BY ALL", "ep")
-boot_cte("epb", "epd", "minute", ["a", "b"], ["epd"], reps=100)
+boot_cte("epb", "epd", "minute", ["a", "b"], ["epd"], reps=REPS)
 
 
 @query("st12_superposed_epoch", statement(f"""SELECT x.minute, o AS observed, {r('x.e AS expected', 'o / x.e AS oe', 'oe_lo', 'oe_hi')} FROM
@@ -200,7 +200,7 @@ def st12(spark, d):
         F.sum(F.when(F.col("event_type") == "view", F.round(F.col("value") * 100)).otherwise(0)).cast("bigint").alias("cents"))
     sums = interval_sums(per, bins, ["observed", "cents"], ids=("event_id", "minute"))
     b = bins.join(sums, ["event_id", "minute"]).withColumns({"pair_hours": F.col("cents") / 6000.0 + 0.01, "rate": F.lit(1.0)})
-    return rounded(es.epoch_curve(b, reps=100, seed=SEED))
+    return rounded(es.epoch_curve(b, reps=REPS, seed=SEED))
 
 
 # windows with own and total counts: the event aircraft's own rows against all rows
@@ -210,7 +210,7 @@ cte("own", """SELECT r.event_id, r.day0 AS day, w.wn, w.T1_any AS tot, w.aircraf
   FROM use r JOIN m2h w ON w.event_id = r.event_id AND w.grp = 'g' AND w.wn IN ('pre', 'post') JOIN ga1 a ON a.event_id = r.event_id""", "use", "m2h", "ga1", "study")
 cte("own2", "SELECT *, own_s * CASE WHEN aircraft_s - own_s > 0 THEN (2 * tot - own) / (aircraft_s - own_s)::DOUBLE ELSE 0 END AS ex FROM own", "own")
 cte("ownd", "SELECT wn, day, sum(own) AS a, sum(ex) AS b FROM own2 GROUP BY ALL", "own2")
-boot_cte("ownb", "ownd", "wn", ["a", "b"], ["ownd"], reps=100)
+boot_cte("ownb", "ownd", "wn", ["a", "b"], ["ownd"], reps=REPS)
 
 
 @query("st13_own_involvement", statement(f"""SELECT x.wn AS "window", x.n_events, {r('o AS observed', 'e AS expected', 'sh AS share_of_window_in_area', 'o / e AS ratio', 'q_lo AS ratio_lo', 'q_hi AS ratio_hi')} FROM
@@ -225,7 +225,7 @@ def st13(spark, d):
     s = views.study(spark, d).groupBy(F.concat(F.lit("u"), "user_id").alias("icao24"), "t").agg(
         F.count_if(F.col("event_type") == "click").alias("T1_any"), (F.count(F.lit(1)) * 60).alias("own_present_s"))
     own = interval_sums(s, event_windows(ev, keep=("event_id", "icao24")), ["T1_any", "own_present_s"], keys=("icao24",), ids=("event_id", "window"))
-    out = es.involvement(m, own, rk, ("T1",), reps=100, seed=SEED)
+    out = es.involvement(m, own, rk, ("T1",), reps=REPS, seed=SEED)
     return rounded(out.select("window", "n_events", "observed", "expected", "share_of_window_in_area", "ratio", "ratio_lo", "ratio_hi"))
 
 
@@ -283,27 +283,27 @@ def did_sql(p):
 
 DID_COLS = ("measure", "n_events", "n_controls", "before_total", "after_total", "normal_mean_before", "ratio", "ratio_lo", "ratio_hi", "normal_ratio",
             "vs_normal", "vs_normal_lo", "vs_normal_hi", "too_few")
-did_ctes("dd", "pre", "post", 200)
-did_ctes("pt", "early", "pre", 100)
+did_ctes("dd", "pre", "post", REPS)
+did_ctes("pt", "early", "pre", REPS)
 
 
 @query("m5_change_summary", did_sql("dd"))
 def m5(spark, d):
     g, c = views.paired(spark, d, bands=False)
-    return rounded(mt.change_summary(g, c, reps=200, seed=SEED).select(*DID_COLS))
+    return rounded(mt.change_summary(g, c, reps=REPS, seed=SEED).select(*DID_COLS))
 
 
 @query("m4_did_ratio", statement(f"""SELECT {r('sum(ga)/sum(gp) AS ratio', 'sum(ca)/sum(cp) AS normal_ratio', '(sum(ga)/sum(gp)) / (sum(ca)/sum(cp)) AS vs_normal')} FROM ddp WHERE measure = 'T1_any'""", "ddp"))
 def m4(spark, d):
     g, c = views.paired(spark, d, bands=False)
-    out = mt.change_summary(g, c, reps=20, seed=SEED, measures={"T1_any": "T1_any"})
+    out = mt.change_summary(g, c, reps=REPS, seed=SEED, measures={"T1_any": "T1_any"})
     return rounded(out.select("ratio", "normal_ratio", "vs_normal"))
 
 
 @query("m6_pre_trend", did_sql("pt"))
 def m6(spark, d):
     g, c = views.paired(spark, d, bands=False)
-    return rounded(mt.change_summary(g, c, reps=100, seed=SEED, frm="early", to="pre").select(*DID_COLS))
+    return rounded(mt.change_summary(g, c, reps=REPS, seed=SEED, frm="early", to="pre").select(*DID_COLS))
 
 
 @query("m3_shared_day_resamples", statement(f"""SELECT {ci('ga', 'ga')}, {ci('cp', 'cp')} FROM ddb WHERE g = 'T1_any'""".replace("quantile_cont(ga, 0.025)", "round(quantile_cont(ga, 0.025), 6)")
@@ -315,7 +315,7 @@ def m3(spark, d):
     both = kept.select("day", F.col("post_T1_any").cast("double").alias("ga"), F.lit(0.0).alias("cp")).unionByName(
         w.filter("w > 0").select("day", F.lit(0.0).alias("ga"), (F.col("pre_T1_any") * F.col("w")).alias("cp")))
     per = both.groupBy("day").agg(F.sum("ga").alias("ga"), F.sum("cp").alias("cp"))
-    out = bs.day_bootstrap(per, ["ga", "cp"], {"ga": lambda s: s["ga"], "cp": lambda s: s["cp"]}, reps=200, seed=SEED)
+    out = bs.day_bootstrap(per, ["ga", "cp"], {"ga": lambda s: s["ga"], "cp": lambda s: s["cp"]}, reps=REPS, seed=SEED)
     return rounded(out.select("ga_lo", "ga_hi", "cp_lo", "cp_hi"))
 
 
@@ -326,7 +326,7 @@ cte("pool", "SELECT hour, event_id, pre_T1_any AS p0, post_T1_any AS p1, count(*
 def m7(spark, d):
     """Random controls per event and set (the pool order is a hash order, so no SQL twin)."""
     g, c = views.paired(spark, d, bands=False)
-    return rounded(mt.placebo(g, c, "T1_any", n_sets=200, seed=SEED))
+    return rounded(mt.placebo(g, c, "T1_any", n_sets=REPS, seed=SEED))
 
 
 cte("bg", "SELECT * FROM pg WHERE NOT pre_bad", "pg")
@@ -339,7 +339,7 @@ cte("bw", """SELECT 'events' AS grp2, 1.0::DOUBLE AS w, * FROM bg WHERE hour IN
    'sum(pre_T1_any * w) / sum(pre_expected * w) AS oe_before')} FROM bw GROUP BY 1""", "bw"))
 def m8(spark, d):
     g, c = views.paired(spark, d, bands=False)
-    out = mt.before_checks(g, c, reps=50, seed=SEED).filter(F.col("group") != "ratio")
+    out = mt.before_checks(g, c, reps=REPS, seed=SEED).filter(F.col("group") != "ratio")
     return rounded(out.select("group", "n", "in_normal_range", "traffic_before_h", "oe_before"))
 
 
@@ -362,7 +362,7 @@ def m10(spark, d):
 def m11(spark, d):
     """Main result under nine variations of events, controls and matching."""
     g, c = views.paired(spark, d)
-    out = mt.robustness(g, c, "T1_any", reps=20, seed=SEED)
+    out = mt.robustness(g, c, "T1_any", reps=REPS, seed=SEED)
     return rounded(out.select("variation", *DID_COLS))
 
 
@@ -374,7 +374,7 @@ cte("re0", """SELECT b.grp2, b.event_id, b.day, b.w, m AS minute, (SELECT count(
 def m12(spark, d):
     g, c = views.paired(spark, d, bands=False)
     per = views.study(spark, d).filter("event_type = 'click'").groupBy("t").agg(F.count(F.lit(1)).alias("clicks"))
-    out = mt.epoch_by_group(g, c, per, ["clicks"], reps=20, seed=SEED)
+    out = mt.epoch_by_group(g, c, per, ["clicks"], reps=REPS, seed=SEED)
     return rounded(out.select("group", "minute", "clicks_mean"))
 
 
