@@ -39,10 +39,10 @@ def _document(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
 
 def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = 1) -> DataFrame:
     """(h1, h2, id, t, pos): the keys of all lines, without their text."""
-    lines = docs.select(*_document(docs, text, doc_id), _lines(F.translate(F.col(f"`{text}`"), UPPER, LOWER)).alias("lines"))
-    key = F.btrim("line", F.lit(BLANKS))
-    return (lines.select("id", "t", F.posexplode("lines").alias("pos", "line")).select("id", "t", "pos", key.alias("key"))
-            .filter(F.char_length("key") >= least_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "id", "t", "pos"))
+    keys = F.transform(_lines(F.translate(F.col(f"`{text}`"), UPPER, LOWER)), lambda line: F.btrim(line, F.lit(BLANKS)))
+    # the outer form has no filter on the array, which would cut every text twice; a text has a line at least
+    lines = docs.select(*_document(docs, text, doc_id), F.posexplode_outer(keys).alias("pos", "key"))
+    return lines.filter(F.char_length("key") >= least_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "id", "t", "pos")
 
 
 def frequent_keys(lines: DataFrame, min_docs: int) -> DataFrame:
