@@ -58,3 +58,26 @@ def test_stage_drops_copies_beyond_four_bits(spark):
     want = {c for _, c in direct(rows)}
     assert {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, df, "").collect()} == want
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} - want  # copies that four bits leave
+
+
+def test_texts_with_a_common_opening_do_not_meet(spark):
+    """Pairs grow in proportion, not with the square: the texts differ in their rarest shingle."""
+    made = []
+    inner, nearcopies._similar = nearcopies._similar, lambda pairs, *how: (made.append(pairs.count()), inner(pairs, *how))[1]
+    try:
+        for n in (300, 1200):
+            rows = [(i, f"terms and conditions apply here u{i}") for i in range(n)] + [(n + i, f"terms and conditions apply here u{i}!") for i in range(5)]
+            df = spark.createDataFrame(rows, "doc_id long, text string")
+            assert {(r["doc_id"], r["component_id"]) for r in nearcopies.near_components(df).collect()} == {(i, i) for i, _ in rows}
+    finally:
+        nearcopies._similar = inner
+    small, large = sum(made[:3]), sum(made[3:])
+    assert large < 6 * small and made[5] == 0
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    odd = df.select("*", *[F.lit(9).alias(c) for c in ("id", "t", "node", "n", "s", "band", "component_id")])
+    assert {tuple(r) for r in nearcopies.near_components(odd).collect()} == {(1, 1), (2, 1), (3, 3)}

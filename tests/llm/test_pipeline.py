@@ -8,8 +8,8 @@ import corpus_pipeline
 from nearpass.llm import langid
 from nearpass.llm.common import stored
 from tests.llm.test_mixing import check
+from tests.llm.test_nearcopies import direct as copies
 from tests.llm.test_repetition import direct
-from tests.llm.test_simhash import direct_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,7 +55,7 @@ def test_quality(tables):
 
 def test_near_duplicates(tables):
     rows = [(r["doc_id"], r["text"]) for r in tables[2].collect()]
-    assert ids(tables[3]) == sorted({c for _, _, c in direct_components(rows)})
+    assert ids(tables[3]) == sorted({c for _, c in copies(rows)})
 
 
 def test_mixing(spark, tables):
