@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-# Parameters as in nearpass.llm.urls: three levels, eight branches, 1.5 standard errors, strength 8, limit 0.5.
+# Eight pages or three labels for a branch of its own, 1.5 standard errors, strength 8, limit 0.5; paths of up to twelve segments.
 _LEVEL = """
-c{i} AS MATERIALIZED (SELECT {up}, s{i}, sum(bad) AS b, sum(labelled) AS n FROM r{i} GROUP BY ALL),
-w{i} AS MATERIALIZED (SELECT {up} FROM c{i} GROUP BY ALL HAVING count(*) <= 8),
-x{i} AS MATERIALIZED (SELECT c{i}.*, (b + 8.0 * prior) / (n + 8.0) AS r FROM c{i} JOIN w{i} USING ({up}) CROSS JOIN whole),
-y{i} AS MATERIALIZED (SELECT *, lag(r) OVER k AS r0, lag(n) OVER k AS n0 FROM x{i} WINDOW k AS (PARTITION BY {up} ORDER BY r, s{i})),
-z{i} AS MATERIALIZED (SELECT *, sum(CASE WHEN r - r0 > 1.5 * sqrt((r + r0) / 2 * (1 - (r + r0) / 2) * (1 / (n + 8.0) + 1 / (n0 + 8.0))) THEN 1 ELSE 0 END)
-  OVER (PARTITION BY {up} ORDER BY r, s{i} ROWS UNBOUNDED PRECEDING) AS grp FROM y{i}),
-m{i} AS MATERIALIZED (SELECT {up}, s{i}, string_agg(s{i}, '|' ORDER BY s{i}) OVER (PARTITION BY {up}, grp ORDER BY s{i}
-  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS branch FROM z{i}),
-r{j} AS MATERIALIZED (SELECT r{i}.*, coalesce(branch, '*') AS g{i} FROM r{i} LEFT JOIN m{i} USING ({up}, s{i})),"""
+e{i} AS MATERIALIZED (SELECT node, seg[{j}] AS s, any_value(up) AS up, count(*) >= 8 OR sum(n) >= 3 AS own, sum(b) AS b, sum(n) AS n FROM r{i} WHERE len(seg) >= {j} GROUP BY node, seg[{j}]),
+a{i} AS MATERIALIZED (SELECT node, b, n, min(s) AS s1, count(*) AS many, (b + 8.0 * any_value(prior)) / (n + 8.0) AS r FROM e{i} CROSS JOIN whole WHERE own GROUP BY node, b, n),
+l{i} AS MATERIALIZED (SELECT *, lag(r) OVER k AS r0, lag(n) OVER k AS n0 FROM a{i} WINDOW k AS (PARTITION BY node ORDER BY r, n)),
+g{i} AS MATERIALIZED (SELECT *, sum(CASE WHEN r - r0 > 1.5 * sqrt((r + r0) / 2 * (1 - (r + r0) / 2) * (1 / (n + 8.0) + 1 / (n0 + 8.0))) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY node ORDER BY r, n ROWS UNBOUNDED PRECEDING) AS grp FROM l{i}),
+b{i} AS MATERIALIZED (SELECT node, b, n, true AS own, min(s1) OVER (PARTITION BY node, grp) || CASE WHEN sum(many) OVER (PARTITION BY node, grp) > 1
+  THEN '|+' || CAST(CAST(sum(many) OVER (PARTITION BY node, grp) - 1 AS BIGINT) AS VARCHAR) ELSE '' END AS branch FROM g{i}),
+c{i} AS MATERIALIZED (SELECT e{i}.*, node || '/' || coalesce(branch, '*') AS child FROM e{i} LEFT JOIN b{i} USING (node, b, n, own)),
+p{i} AS MATERIALIZED (SELECT child, (sum(b) + 8.0 * any_value(up)) / (sum(n) + 8.0) AS share FROM c{i} GROUP BY child),
+r{j} AS MATERIALIZED (SELECT r{i}.* EXCLUDE (node, up), coalesce(child, r{i}.node) AS node, coalesce(share, r{i}.up) AS up FROM r{i}
+  LEFT JOIN c{i} ON r{i}.node = c{i}.node AND r{i}.seg[{j}] = c{i}.s LEFT JOIN p{i} USING (child)),"""
 
 URL_FILTER = """
 WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -21,22 +23,19 @@ named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHI
 marks AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 split AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg,
   try_cast(regexp_extract(path, '([0-9]+)(?:\\.[a-z]+)?/?$', 1) AS BIGINT) AS doc_id FROM named),
-r0 AS MATERIALIZED (SELECT page_id, host, path, coalesce(seg[1], '') AS s0, coalesce(seg[2], '') AS s1, coalesce(array_to_string(seg[3:], '/'), '') AS s2,
-  coalesce(bad, 0) AS bad, CASE WHEN bad IS NULL THEN 0 ELSE 1 END AS labelled FROM split LEFT JOIN marks USING (doc_id)),
-whole AS MATERIALIZED (SELECT CASE WHEN sum(labelled) > 0 THEN sum(bad) / sum(labelled) ELSE 0.2 END AS prior FROM r0),
-""" + "".join(_LEVEL.format(i=i, j=i + 1, up=", ".join(["host", *[f"g{k}" for k in range(i)]])) for i in range(3)) + """
-t0 AS MATERIALIZED (SELECT host, (sum(bad) + 8.0 * any_value(prior)) / (sum(labelled) + 8.0) AS p FROM r3 CROSS JOIN whole GROUP BY host),
-t1 AS MATERIALIZED (SELECT host, g0, (sum(bad) + 8.0 * any_value(p)) / (sum(labelled) + 8.0) AS p FROM r3 JOIN t0 USING (host) GROUP BY host, g0),
-t2 AS MATERIALIZED (SELECT host, g0, g1, (sum(bad) + 8.0 * any_value(p)) / (sum(labelled) + 8.0) AS p FROM r3 JOIN t1 USING (host, g0) GROUP BY host, g0, g1),
-t3 AS MATERIALIZED (SELECT host, g0, g1, g2, (sum(bad) + 8.0 * any_value(p)) / (sum(labelled) + 8.0) AS p FROM r3 JOIN t2 USING (host, g0, g1) GROUP BY ALL),
+marked AS MATERIALIZED (SELECT page_id, host, path, seg, coalesce(bad, 0) AS b, CASE WHEN bad IS NULL THEN 0 ELSE 1 END AS n FROM split LEFT JOIN marks USING (doc_id)),
+whole AS MATERIALIZED (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0.2 END AS prior FROM marked),
+hosts AS MATERIALIZED (SELECT host, (sum(b) + 8.0 * any_value(prior)) / (sum(n) + 8.0) AS up FROM marked CROSS JOIN whole GROUP BY host),
+r0 AS MATERIALIZED (SELECT marked.*, host AS node, up FROM marked JOIN hosts USING (host)),
+""" + "".join(_LEVEL.format(i=i, j=i + 1) for i in range(12)) + """
 ruled AS (SELECT *, CASE
   WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
   WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
-  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM r3 JOIN t3 USING (host, g0, g1, g2))
+  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM r12)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN p >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, concat_ws('/', host, g0, g1, g2) AS template, round(p, 9) AS purity FROM ruled
+  WHEN up >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, node AS template, round(up, 9) AS purity FROM ruled
 """
 
 # k1 1.2, b 0.75, the 16 heaviest terms of a query, its ten best documents.

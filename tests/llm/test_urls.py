@@ -41,6 +41,25 @@ def test_templates_wildcards_merging_and_rejection(spark):
     rows += [("http://h.net/ads/new/x", None), ("http://h.net/news/new/x", None), ("http://other.net/ads/1", None)] * 2
     df = spark.createDataFrame([(u, b) for u, b in rows], "url string, bad int")
     got = {(r["url"]): (r["template"], r["verdict"]) for r in urls.judge(df.withColumn("page", F.col("url")).withColumnRenamed("page", "u2"), []).withColumnRenamed("u2", "url").collect()}
-    assert got["http://h.net/news/new/x"] == ("h.net/blog|news/*/x", "allow")
-    assert got["http://h.net/ads/new/x"] == ("h.net/ads/*/x|y/z", "block") and got["http://h.net/ads/7/y/z"][1] == "block"
+    assert got["http://h.net/news/new/x"] == ("h.net/blog|+1/*/x", "allow")
+    assert got["http://h.net/ads/new/x"] == ("h.net/ads/*/x|+1", "block") and got["http://h.net/ads/7/y/z"][1] == "block"
     assert got["http://other.net/ads/1"][1] == "allow"
+
+
+def test_every_child_is_judged_by_its_own_support(spark):
+    """Nine, or ninety, sections keep a bad one blocked; so does the fifth segment of a path."""
+    for sections in (8, 9, 90):
+        rows = [(f"http://h.net/s{k}/{i}", int(k == 0)) for k in range(sections) for i in range(20)] + [("http://h.net/s0/new", None), ("http://h.net/s1/new", None)]
+        got = {r["url"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "url string, bad int"), []).collect()}
+        assert got["http://h.net/s0/new"] == "block" and got["http://h.net/s1/new"] == "allow"
+    deep = [(f"http://h.net/a/b/c/d/{k}/{i}", int(k == "bad")) for k in ("bad", "good", "fine", "well") for i in range(20)]
+    got = {(r["url"].split("/")[7], r["verdict"]) for r in urls.judge(spark.createDataFrame(deep, "url string, bad int"), []).collect()}
+    assert got == {("bad", "block"), ("good", "allow"), ("fine", "allow"), ("well", "allow")}
+
+
+def test_clashing_names(spark):
+    odd = ["row", "node", "up", "segment", "segments", "b", "n", "own", "child", "share", "fits", "branch", "_bad", "_labelled", "_s0", "_g0"]
+    df = spark.createDataFrame([("http://h.net/a/1", 1), ("http://h.net/a/1", 1)], "url string, bad int").select("*", *[F.lit(5).alias(c) for c in odd])
+    got = urls.judge(df, [])
+    assert got.columns == ["url", *odd, "host", "path", "rule", "verdict", "template", "purity"]
+    assert [[r[c] for c in odd] for r in got.collect()] == [[5] * len(odd)] * 2
