@@ -8,8 +8,6 @@ second of a day.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geo
@@ -84,39 +82,41 @@ def fresh_reports(df: DataFrame, cfg: Cleaning = CLEANING, keys=TRACK) -> DataFr
     )
 
 
-def _keep_reachable(pdf: pd.DataFrame, max_speed: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("t", kind="stable")
-    t, x, y = (pdf[c].to_numpy() for c in ("t", "x", "y"))
-    keep = np.zeros(len(pdf), dtype=bool)
-    anchor = None
-    for i in range(len(pdf)):
-        if anchor is not None:
-            dt = t[i] - t[anchor]
-            if dt <= 0 or np.hypot(x[i] - x[anchor], y[i] - y[anchor]) * 3600.0 > max_speed * dt:
-                continue
-        keep[i], anchor = True, i
-    return pdf[keep]
+def _kept_places(rows: str, max_speed: float) -> Column:
+    """Places of the fixes that a walk along the array keeps; a fix is kept if the last kept one can reach it.
+
+    The walk remembers its decisions as bits, 64 in a word, so that its state stays small however long the array.
+    """
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("i"), zero.alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), zero.alias("word"), F.array().cast("array<bigint>").alias("words"))
+
+    def step(at, fix):
+        dt = fix["t"] - at["t"]
+        keep = (at["i"] == 0) | ((dt > 0) & (F.hypot(fix["x"] - at["x"], fix["y"] - at["y"]) * 3600.0 <= max_speed * dt))
+        place = F.pmod(at["i"], F.lit(64))
+        word = at["word"].bitwiseOR(F.when(keep, F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(0))
+        full = place == 63
+        last = {c: F.when(keep, fix[c]).otherwise(at[c]).alias(c) for c in ("t", "x", "y")}
+        return F.struct((at["i"] + 1).alias("i"), last["t"], last["x"], last["y"], F.when(full, zero).otherwise(word).alias("word"),
+                        F.when(full, F.concat(at["words"], F.array(word))).otherwise(at["words"]).alias("words"))
+
+    words = F.aggregate(rows, start, step, lambda at: F.concat(at["words"], F.array(at["word"])))
+    bit = lambda w, j: F.call_function("shiftright", w, F.pmod(j, F.lit(64))).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.flatten(F.transform(words, lambda w, k: F.filter(F.sequence(k * 64, k * 64 + 63), lambda j: bit(w, j))))
 
 
 def drop_jumps(df: DataFrame, cfg: Cleaning = CLEANING, keys=TRACK) -> DataFrame:
     """Drop fixes that cannot be reached from the last kept fix.
 
     "Last kept" depends on all earlier decisions, which no window function can
-    state. An aircraft-day without any impossible step between neighbours loses
-    nothing and stays in the JVM; only the others go through a grouped Arrow
-    batch of at most one row per second of a day.
+    state: the fixes of an aircraft-day, one per second at most, are folded in
+    order. The rows come out in the partitioning they came in.
     """
     keys = list(keys)
-    w = _track_window(keys).orderBy("t")
-    dt = F.col("t") - F.lag("t").over(w)
-    dist = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    bad = F.coalesce((dt <= 0) | (dist * 3600.0 > cfg.max_speed_kt * dt), F.lit(False))
-    flagged = df.withColumn("_bad", bad).withColumn("_dirty", F.max("_bad").over(_track_window(keys)))
-    clean = flagged.filter(~F.col("_dirty")).drop("_bad", "_dirty")
-    dirty = flagged.filter("_dirty").drop("_bad", "_dirty")
-    limit = float(cfg.max_speed_kt)
-    fixed = dirty.groupBy(*keys).applyInPandas(lambda pdf: _keep_reachable(pdf, limit), dirty.schema)
-    return clean.unionByName(fixed)
+    rest = [c for c in df.columns if c not in (*keys, "t")]
+    track = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", *rest))).alias("_rows"))
+    kept = F.transform(_kept_places("_rows", float(cfg.max_speed_kt)), lambda j: F.get("_rows", j))
+    return track.select(*keys, F.explode(kept).alias("_row")).select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def split_legs(df: DataFrame, cfg: Cleaning = CLEANING, keys=TRACK, min_points: int | None = None) -> DataFrame:
