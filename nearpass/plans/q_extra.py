@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.plan import cut_lineage
 from ..operators import audit, cleaning as cl, exposure as ex, grid as gr, pairs as pr, probability as pb, products as pd_, sweeps
-from ..settings import DAY_S, Spec
+from ..settings import BASELINE, DAY_S, Spec
 from ..sources import airports, profiles
 from . import q_clean, q_pairs, q_windows, views
 from .q_pairs import RWY, SPEC, cpa_cols, zone_cols
+from .q_stats import boot_cte
 from .registry import cte, query, statement
 from .tidy import r, rounded
 from .views import AIRPORT
@@ -111,13 +112,98 @@ def q8(spark, d):
     return rounded(pb.expected_conflicts(p, q_windows.clock(spark, d).drop("day")))
 
 
-@query("v1_sensitivity_sweep")
+GRID = sweeps.analysis_grid(SPEC, 1.0, (0.5, 2.0), 0.05, (0.02, 0.1))
+
+
+def _settings_sql():
+    rows = [(p, v, t, float(h), float(z), float(s.lookahead_s), float(s.radius_nm), float(s.ceiling_ft)) for p, v, s in sweeps.settings_grid(SPEC) for t, h, z in s.tiers]
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" for x in row) + ")" for row in rows)
+
+
+def sweep_ctes(p, values, columns):
+    """Episodes of every setting; ``columns`` tell the settings apart."""
+    cte(f"{p}s", f"SELECT * FROM (VALUES {values}) v({columns}, tier, h_lim, v_lim, look, rad, ceil)")
+    cte(f"{p}p", f"SELECT * FROM pairs CROSS JOIN {p}s", "pairs", f"{p}s")
+    q_pairs.ev_cte(f"{p}e", f"{p}p", "look", "ra <= rad AND rb <= rad AND ha <= ceil + 2000 AND hb <= ceil + 2000", f"{p}p")
+    keep = f"{columns}, tier, day, t, a, b, h_lim, ceil, ha, hb"
+    cte(f"{p}k", f"""SELECT {keep}, 'observed' AS kind, s_step AS s, st_d AS d_h FROM {p}e WHERE observed UNION ALL SELECT {keep}, 'predicted', s_cpa, cp_d FROM {p}e WHERE predicted
+      UNION ALL SELECT {keep}, 'any', CASE WHEN observed THEN s_step ELSE s_cpa END, CASE WHEN observed THEN st_d ELSE cp_d END FROM {p}e WHERE observed OR predicted""", f"{p}e")
+    cte(f"{p}m", f"""SELECT *, sum(CASE WHEN t - pt > 11 THEN 1 ELSE 0 END) OVER (PARTITION BY {columns}, tier, kind, day, a, b ORDER BY t) AS ep
+      FROM (SELECT *, lag(t) OVER (PARTITION BY {columns}, tier, kind, day, a, b ORDER BY t) AS pt FROM {p}k)""", f"{p}k")
+    cte(f"{p}x", f"""SELECT {columns}, tier, kind, t AS t_min, greatest(ha, hb) <= ceil AS inside FROM {p}m
+      QUALIFY row_number() OVER (PARTITION BY {columns}, tier, kind, day, a, b, ep ORDER BY round(s + 1e-6 * d_h / h_lim, 9), t) = 1""", f"{p}m")
+
+
+sweep_ctes("sw", _settings_sql(), "parameter, value")
+
+
+@query("v1_sensitivity_sweep", statement("SELECT parameter, value, tier, kind, count(*) AS n, count(*) FILTER (inside) AS n_inside FROM swx GROUP BY ALL", "swx"))
 def v1(spark, d):
-    """Encounter counts of all settings in one job (base and tier rows are checked against single runs in the tests)."""
+    """Encounter counts of all settings in one job."""
     e = sweeps.sweep_encounters(q_pairs.pairs(spark, d), sweeps.settings_grid(SPEC), RWY)
     return e.groupBy("parameter", "value", "tier", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("inside_ceiling").alias("n_inside"))
 
 
+def track_approaches(spark, d):
+    """Rows of the track view read as classified approaches."""
+    st = views.states(spark, d)
+    v, kind = F.col("value"), F.col("event_type")
+    outcome = (F.when((kind == "error") & v.between(100, 110), "go_around").when((kind == "error") & (v > 110), "touch_and_go").when((kind == "signup") & (v > 150), "ga_ambiguous")
+               .when(kind == "purchase", "full_stop").otherwise("unresolved"))
+    return st.select(F.col("event_id").alias("approach_id"), "icao24", outcome.alias("outcome"), F.col("t").alias("t_low"), F.lit(None).cast("bigint").alias("t_climb"))
+
+
+cte("tap", """SELECT event_id AS id, t AS t0, CASE WHEN event_type = 'error' AND value BETWEEN 100 AND 110 THEN 'go_around' WHEN event_type = 'error' AND value > 110 THEN 'touch_and_go'
+   WHEN event_type = 'signup' AND value > 150 THEN 'ga_ambiguous' WHEN event_type = 'purchase' THEN 'full_stop' END AS outcome FROM states""", "states")
+cte("tzone", "SELECT DISTINCT t0 AS te FROM tap WHERE outcome IN ('go_around', 'touch_and_go', 'ga_ambiguous')", "tap")
+cte("tcl0", "SELECT id, t0, coalesce(t0 - lag(t0) OVER (ORDER BY t0, id) > 60, true) AS fresh FROM tap WHERE outcome IN ('go_around', 'touch_and_go')", "tap")
+cte("tcl", """SELECT id, count(*) OVER (PARTITION BY c) AS many FROM (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (ORDER BY t0, id) AS c FROM tcl0)""", "tcl0")
+
+
+def _grid_sql():
+    rows = []
+    for i, v in enumerate(GRID):
+        (t, h, z), = [x for x in v.spec.tiers if x[0] == "T1"]
+        given = (i, round(v.window_min * 60), round(v.exclusion_min * 60), int("ga_ambiguous" in v.outcomes), int("go_around" in v.outcomes), int("touch_and_go" in v.outcomes), int(v.isolated))
+        rows.append(f"({', '.join(f'{x}::BIGINT' for x in given)}, '{v.parameter}', '{v.value}', '{t}', {h!r}::DOUBLE, {z!r}::DOUBLE, {v.spec.lookahead_s!r}::DOUBLE, {v.spec.radius_nm!r}::DOUBLE, {v.spec.ceiling_ft!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
+sweep_ctes("sv", _grid_sql(), "variant, w, ex, amb, ga, tg, iso, parameter, value")
+cte("svx1", "SELECT variant, t_min AS t FROM svx WHERE kind = 'any' AND inside", "svx")
+cte("svg", """SELECT s.*, a.id, a.t0, 1 AS ig FROM svs s JOIN tap a ON (a.outcome = 'ga_ambiguous' AND amb = 1) OR (a.outcome = 'go_around' AND ga = 1) OR (a.outcome = 'touch_and_go' AND tg = 1)
+   LEFT JOIN tcl ON tcl.id = a.id WHERE iso = 0 OR many = 1""", "svs", "tap", "tcl")
+cte("svc", """SELECT s.*, a.id, a.t0, 0 AS ig FROM svs s JOIN tap a ON a.outcome = 'full_stop' AND NOT EXISTS (SELECT 1 FROM tzone z WHERE z.te BETWEEN a.t0 - s.ex AND a.t0 + s.ex)""", "svs", "tap", "tzone")
+cte("svclock", """SELECT s.*, day_no * 86400 + k * w AS c0 FROM svs s CROSS JOIN gdays g, generate_series(0, 2879) x(k) WHERE k < 86400 // w
+   AND NOT EXISTS (SELECT 1 FROM tzone z WHERE z.te BETWEEN day_no * 86400 + k * w - s.ex AND day_no * 86400 + k * w + w + s.ex)""", "svs", "gdays", "tzone")
+cte("svsec", "SELECT v.variant, t, count(*) * (count(*) - 1) // 2 AS ps FROM pres p JOIN svs v ON p.r <= v.rad AND p.h <= v.ceil GROUP BY ALL", "pres", "svs")
+cte("svspan", """SELECT variant, ig, id::VARCHAR AS id, 'pre' AS wn, t0 - w AS ta, t0 AS tb FROM (SELECT * FROM svg UNION ALL SELECT * FROM svc) UNION ALL
+   SELECT variant, ig, id::VARCHAR, 'post', t0, t0 + w FROM (SELECT * FROM svg UNION ALL SELECT * FROM svc) UNION ALL SELECT variant, 2, c0::VARCHAR, 'clock', c0, c0 + w FROM svclock""", "svg", "svc", "svclock")
+cte("svn", "SELECT p.variant, ig, id, wn, count(*) AS n FROM svspan p JOIN svx1 x ON x.variant = p.variant AND x.t >= ta AND x.t < tb GROUP BY ALL", "svspan", "svx1")
+cte("svh", "SELECT p.variant, ig, id, wn, sum(ps) / 3600.0::DOUBLE AS h FROM svspan p JOIN svsec x ON x.variant = p.variant AND x.t >= ta AND x.t < tb GROUP BY ALL", "svspan", "svsec")
+cte("svcell", "SELECT p.*, coalesce(n, 0) AS n, coalesce(h, 0) AS h FROM svspan p LEFT JOIN svn USING (variant, ig, id, wn) LEFT JOIN svh USING (variant, ig, id, wn)", "svspan", "svn", "svh")
+cte("svrate", "SELECT variant, sum(n) / nullif(sum(h), 0) AS rate FROM svcell WHERE wn = 'clock' GROUP BY 1", "svcell")
+cte("svrow", """SELECT a.variant, a.ig, a.id, a.n AS n0, b.n AS n1, rate * a.h AS x0, rate * b.h AS x1, strftime(make_timestamp(a.ta * 1000000), '%Y-%m-%d') AS day, (a.tb // 3600) % 24 AS hour
+   FROM svcell a JOIN svcell b ON a.wn = 'pre' AND b.wn = 'post' AND a.variant = b.variant AND a.ig = b.ig AND a.id = b.id LEFT JOIN svrate r ON r.variant = a.variant""", "svcell", "svrate")
+cte("svday", "SELECT variant, day, sum(n1)::DOUBLE AS a, sum(n0)::DOUBLE AS b FROM svrow WHERE ig = 1 GROUP BY ALL", "svrow")
+boot_cte("svb", "svday", "variant", ["a", "b"], ["svday"], reps=BASELINE.sweep_reps)
+cte("svmatch", """SELECT c.variant, sum(ng * c0 / nc) AS m0, sum(ng * c1 / nc) AS m1, sum(nc) AS nc, sum(g0) AS g0, sum(g1) AS g1 FROM
+   (SELECT variant, hour, count(*)::DOUBLE AS nc, sum(n0) AS c0, sum(n1) AS c1 FROM svrow WHERE ig = 0 GROUP BY ALL) c
+   JOIN (SELECT variant, hour, count(*) AS ng, sum(n0) AS g0, sum(n1) AS g1 FROM svrow WHERE ig = 1 GROUP BY ALL) g ON g.variant = c.variant AND g.hour = c.hour GROUP BY 1""", "svrow")
+
+
+@query("v1_sweep_results", statement(f"""SELECT parameter, value, x.variant = 0 AS is_base, n_events, nc::BIGINT AS n_controls, s0::DOUBLE AS sum_pre, s1::DOUBLE AS sum_post,
+   {r('s1 / nullif(s0, 0)::DOUBLE AS total_ratio', 'CASE WHEN s0 > 0 THEN q_lo END AS total_ratio_lo', 'CASE WHEN s0 > 0 THEN q_hi END AS total_ratio_hi', '(g1 / nullif(g0, 0)::DOUBLE) / nullif(m1 / nullif(m0, 0), 0) AS vs_normal',
+      's0 / nullif(e0, 0) AS sir_pre', 's1 / nullif(e1, 0) AS sir_post')}
+   FROM (SELECT variant, count(*) AS n_events, sum(n0) AS s0, sum(n1) AS s1, sum(x0) AS e0, sum(x1) AS e1 FROM svrow WHERE ig = 1 GROUP BY 1) x JOIN svs USING (variant)
+   LEFT JOIN svmatch ON svmatch.variant = x.variant LEFT JOIN (SELECT g, CASE WHEN any_value(nd) >= 2 THEN quantile_cont(a / nullif(b, 0), 0.025) END AS q_lo, CASE WHEN any_value(nd) >= 2 THEN quantile_cont(a / nullif(b, 0), 0.975) END AS q_hi FROM svb GROUP BY g) y ON y.g = x.variant""",
+   "svrow", "svs", "svmatch", "svb"))
+def v1_results(spark, d):
+    """Every analysis of the sweep to its results, the variant being a grouping key."""
+    out = sweeps.sweep_results(cut_lineage(q_pairs.pairs(spark, d)), q_pairs.presence(spark, d), track_approaches(spark, d), q_windows.grid_days(spark, d), GRID, RWY)
+    return rounded(out.select("parameter", "value", "is_base", "n_events", "n_controls", "sum_pre", "sum_post", "total_ratio", "total_ratio_lo", "total_ratio_hi", "vs_normal", "sir_pre", "sir_post"))
+
+
 @query("d1_data_audit", statement(f"""SELECT a.day, rows_in_file, messages, aircraft, legs, messages_in_legs, near - kept AS dropped_jumps, gaps AS gaps_over_10s,
     coalesce(outages, 0) AS outages, coalesce(outage_s, 0)::BIGINT AS outage_s, {r('1 - messages / rows_in_file AS stale_position_share', 'baro AS baro_alt_share', 'geo AS geo_alt_share', 'ground AS onground_share')}
    FROM (SELECT day, count(*) AS rows_in_file FROM rep GROUP BY 1) a JOIN (SELECT day, count(*) AS messages, avg((altitude IS NOT NULL)::INT) AS baro,
