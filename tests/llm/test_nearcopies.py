@@ -61,18 +61,35 @@ def test_stage_drops_copies_beyond_four_bits(spark):
 
 
 def test_texts_with_a_common_opening_do_not_meet(spark):
-    """Pairs grow in proportion, not with the square: the texts differ in their rarest shingle."""
+    """Rows to compare grow in proportion: the texts differ in their rarest shingle."""
     made = []
-    inner, nearcopies._similar = nearcopies._similar, lambda pairs, *how: (made.append(pairs.count()), inner(pairs, *how))[1]
+    inner = nearcopies._meeting, nearcopies._similar
+    nearcopies._meeting = lambda keyed, *how: (made.append(keyed.count()), inner[0](keyed, *how))[1]
+    nearcopies._similar = lambda pairs, *how: (made.append(pairs.count()), inner[1](pairs, *how))[1]
     try:
         for n in (300, 1200):
-            rows = [(i, f"terms and conditions apply here u{i}") for i in range(n)] + [(n + i, f"terms and conditions apply here u{i}!") for i in range(5)]
+            rows = [(i, f"terms and conditions apply here u{i}") for i in range(n)]
             df = spark.createDataFrame(rows, "doc_id long, text string")
             assert {(r["doc_id"], r["component_id"]) for r in nearcopies.near_components(df).collect()} == {(i, i) for i, _ in rows}
     finally:
-        nearcopies._similar = inner
-    small, large = sum(made[:3]), sum(made[3:])
-    assert large < 6 * small and made[5] == 0
+        nearcopies._meeting, nearcopies._similar = inner
+    assert sum(made[3:]) < 6 * sum(made[:3]) and made[2] == made[5] == 0
+
+
+def test_many_texts_around_a_common_one(spark, monkeypatch):
+    """Copies that are like their origin but hardly like one another, in parts of a key and several lots."""
+    monkeypatch.setattr(nearcopies, "CHUNK", 16)
+    monkeypatch.setattr(nearcopies, "LOT", 300)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 4, 5))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in nearcopies.near_components(df).collect()), key=str) == direct(rows)
 
 
 def test_clashing_names(spark):
