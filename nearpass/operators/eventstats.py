@@ -66,7 +66,7 @@ def _likelihood(rows: DataFrame, theta: np.ndarray, days: list[int], reps: int,
     def add(batches):
         total = np.zeros((len(days), reps + 1, 6))
         for batch in batches:
-            g, i, a, b, e1, e2, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "i", "a", "b", "e1", "e2", "x"))
+            g, i, a, b, e1, e2, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_g", "_i", "_a", "_b", "_e1", "_e2", "_x"))
             for k in np.unique(g):
                 mine = np.flatnonzero(g == k)
                 drawn = day_counts(seed, 0, reps, days[k]) if days[k] >= 2 and reps else np.zeros((reps, days[k]))
@@ -104,13 +104,13 @@ def irr(df: DataFrame, *, reps: int, seed, group=(), rounds: int = 6, day: str =
     spark = df.sparkSession
     pre, post, e1, e2 = (F.col(c).cast("double") for c in cols)
     ok = df.filter(pre.isNotNull() & post.isNotNull() & (e1 > 0) & (e2 > 0) & (pre + post > 0))
-    ok = ok.select(*group, F.col(day).alias("day"), pre.alias("a"), post.alias("b"), e1.alias("e1"), e2.alias("e2"))
+    ok = ok.select(*group, F.col(day).alias("_day"), pre.alias("_a"), post.alias("_b"), e1.alias("_e1"), e2.alias("_e2"))
     # equal exposure ratios on one day enter the likelihood only through their totals
-    ok = cut_lineage(ok.groupBy(*group, "day", (F.col("e2") / F.col("e1")).alias("x")).agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("e1").alias("e1"), F.sum("e2").alias("e2")))
+    ok = cut_lineage(ok.groupBy(*group, "_day", (F.col("_e2") / F.col("_e1")).alias("_x")).agg(
+        *[F.sum(c).alias(c) for c in ("_a", "_b", "_e1", "_e2")]))
     key = [F.col(c) for c in group] or [F.lit(0)]
-    days = ok.select(*group, "day").distinct().withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy("day")) - 1)
-    placed = ok.join(days, [*group, "day"])
+    days = ok.select(*group, "_day").distinct().withColumn("_i", F.row_number().over(W.partitionBy(*key).orderBy("_day")) - 1)
+    placed = ok.join(days, [*group, "_day"])
     listed = days.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     batches = max(1, -(-listed.count() * (reps + 1) // CELLS))
     kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -119,8 +119,8 @@ def irr(df: DataFrame, *, reps: int, seed, group=(), rounds: int = 6, day: str =
     for b in range(batches):
         here = (F.pmod(F.xxhash64(*key), F.lit(batches)) == b) if batches > 1 else F.lit(True)
         groups = listed.filter(here).collect()  # CELLS thetas at most, on average
-        names = spark.createDataFrame([(*r[:-1], k) for k, r in enumerate(groups)], f"{columns}g int")
-        rows = (placed.join(F.broadcast(names), group) if group else placed.withColumn("g", F.lit(0))).select("g", "i", "a", "b", "e1", "e2", "x")
+        names = spark.createDataFrame([(*r[:-1], k) for k, r in enumerate(groups)], f"{columns}_g int")
+        rows = (placed.join(F.broadcast(names), group) if group else placed.withColumn("_g", F.lit(0))).select("_g", "_i", "_a", "_b", "_e1", "_e2", "_x")
         rows = cut_lineage(rows)
         sizes = [r["_n"] for r in groups]
         theta = np.zeros((len(groups), reps + 1))
