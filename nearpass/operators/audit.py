@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geo import flat_distance
 from ..functions.plan import cut_lineage
-from ..settings import BASELINE, DETECTION, Airport, Detection
+from ..settings import BASELINE, DETECTION, VOLUME, Airport, Detection
+from .grid import with_motion
 from .quantiles import grouped_quantiles
 
 
 def audit_days(raw: DataFrame, fresh: DataFrame, near: DataFrame, kept: DataFrame, clean: DataFrame, grid: DataFrame, gaps: DataFrame,
                silences: DataFrame) -> DataFrame:
-    """One row per day with row counts, stale share, aircraft, legs, dropped jumps, gaps, outages and altitude availability.
+    """One row per day with row counts, stale share, aircraft, legs (also those airborne in the volume), dropped jumps, gaps, shares of interpolated
+    seconds, outages and altitude availability.
 
     ``near`` are the reports before the jump filter and ``kept`` those after it; ``silences`` the outages (a, b) in seconds.
     Each input is reduced to one row per day before the joins. ``schema_audit`` lists files that cannot be read.
@@ -23,16 +25,18 @@ def audit_days(raw: DataFrame, fresh: DataFrame, near: DataFrame, kept: DataFram
         F.count(F.lit(1)).alias("messages"), share(F.col("altitude").isNotNull()).alias("baro_alt_share"),
         share(F.col("geoaltitude").isNotNull()).alias("geo_alt_share"), share(F.col("onground")).alias("onground_share"))
     c = clean.groupBy("day").agg(F.count_distinct("icao24").alias("aircraft"), F.count_distinct("icao24", "leg_no").alias("legs"), F.count(F.lit(1)).alias("clean_rows"))
-    g = grid.groupBy("day").agg(share(F.col("interpolated")).alias("interp_share"), share(F.col("interp_long")).alias("interp_long_share"))
+    leg = F.struct("icao24", "leg_no")
+    g = with_motion(grid).groupBy("day").agg(share(F.col("interpolated")).alias("interp_share"), share(F.col("interp_long")).alias("interp_long_share"),
+                                             F.count_distinct(F.when(F.col("airborne") & (F.col("r") <= VOLUME.radius_nm), leg)).alias("airborne_in_volume"))
     h = gaps.groupBy("day").agg(F.count(F.lit(1)).alias("gaps_over_10s"))
-    j = near.groupBy("day").agg(F.count(F.lit(1)).alias("_near"))
+    j = near.groupBy("day").agg(F.count(F.lit(1)).alias("messages_in_radius"))
     k = kept.groupBy("day").agg(F.count(F.lit(1)).alias("_kept"))
     o = silences.groupBy("day").agg(F.count(F.lit(1)).alias("outages"), F.sum(F.col("b") - F.col("a")).alias("outage_s"))
     out = a
     for p in (b, c, g, h, j, k, o):
         out = out.join(p, "day", "left")
-    out = out.fillna(0, ["gaps_over_10s", "_near", "_kept", "outages", "outage_s"])
-    out = out.withColumn("dropped_jumps", F.col("_near") - F.col("_kept")).drop("_near", "_kept").withColumnRenamed("clean_rows", "messages_in_legs")
+    out = out.fillna(0, ["gaps_over_10s", "messages_in_radius", "_kept", "outages", "outage_s", "airborne_in_volume"])
+    out = out.withColumn("dropped_jumps", F.col("messages_in_radius") - F.col("_kept")).drop("_kept").withColumnRenamed("clean_rows", "messages_in_legs")
     return out.withColumn("stale_position_share", 1 - F.col("messages") / F.col("rows_in_file"))
 
 

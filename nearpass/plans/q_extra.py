@@ -204,22 +204,36 @@ def v1_results(spark, d):
     return rounded(out.select("parameter", "value", "is_base", "n_events", "n_controls", "sum_pre", "sum_post", "total_ratio", "total_ratio_lo", "total_ratio_hi", "vs_normal", "sir_pre", "sir_post"))
 
 
-@query("d1_data_audit", statement(f"""SELECT a.day, rows_in_file, messages, aircraft, legs, messages_in_legs, near - kept AS dropped_jumps, gaps AS gaps_over_10s,
-    coalesce(outages, 0) AS outages, coalesce(outage_s, 0)::BIGINT AS outage_s, {r('1 - messages / rows_in_file AS stale_position_share', 'baro AS baro_alt_share', 'geo AS geo_alt_share', 'ground AS onground_share')}
+def _known(col):
+    k = f"(SELECT day, icao24, leg_no, t, {col} AS v FROM fix WHERE {col} IS NOT NULL)"
+    return f"""SELECT s.day, s.icao24, s.leg_no, s.t, CASE WHEN p.t = s.t THEN p.v ELSE p.v + (n.v - p.v) * (s.t - p.t) / (n.t - p.t) END AS {col} FROM secs s
+      ASOF LEFT JOIN {k} p ON p.day = s.day AND p.icao24 = s.icao24 AND p.leg_no = s.leg_no AND p.t <= s.t ASOF LEFT JOIN {k} n ON n.day = s.day AND n.icao24 = s.icao24 AND n.leg_no = s.leg_no AND n.t > s.t"""
+
+
+cte("kgs", _known("groundspeed"), "secs", "fix")
+cte("kh", _known("h"), "secs", "fix")
+cte("shares", """SELECT b.day, avg((t > t1)::INT) AS interp, avg((t > t1 AND t2 - t1 > 4)::INT) AS long,
+    count(DISTINCT CASE WHEN NOT (CASE WHEN t = t1 THEN o1 ELSE o1 + (o2 - o1) * w END > 0.5) AND groundspeed >= 50 AND h IS NOT NULL
+      AND sqrt(pow(CASE WHEN t = t1 THEN x1 ELSE x1 + (x2 - x1) * w END, 2) + pow(CASE WHEN t = t1 THEN y1 ELSE y1 + (y2 - y1) * w END, 2)) <= 10 THEN icao24 || '_' || leg_no END) AS inside
+  FROM base b JOIN kgs USING (day, icao24, leg_no, t) JOIN kh USING (day, icao24, leg_no, t) GROUP BY 1""", "base", "kgs", "kh")
+
+
+@query("d1_data_audit", statement(f"""SELECT a.day, rows_in_file, messages, aircraft, legs, messages_in_legs, near AS messages_in_radius, inside AS airborne_in_volume, near - kept AS dropped_jumps, gaps AS gaps_over_10s,
+    coalesce(outages, 0) AS outages, coalesce(outage_s, 0)::BIGINT AS outage_s, {r('1 - messages / rows_in_file AS stale_position_share', 'baro AS baro_alt_share', 'geo AS geo_alt_share', 'ground AS onground_share', 'interp AS interp_share', 'long AS interp_long_share')}
    FROM (SELECT day, count(*) AS rows_in_file FROM rep GROUP BY 1) a JOIN (SELECT day, count(*) AS messages, avg((altitude IS NOT NULL)::INT) AS baro,
      avg((geoaltitude IS NOT NULL)::INT) AS geo, avg(onground::INT) AS ground FROM fresh GROUP BY 1) b USING (day)
    JOIN (SELECT day, count(DISTINCT icao24) AS aircraft, count(DISTINCT icao24 || '_' || leg_no) AS legs, count(*) AS messages_in_legs FROM smoothed GROUP BY 1) c USING (day)
    JOIN (SELECT day, count(*) FILTER (t2 - t > 10) AS gaps FROM fix GROUP BY 1) h USING (day)
-   JOIN (SELECT day, count(*) AS near FROM num GROUP BY 1) j USING (day) JOIN (SELECT day, count(*) AS kept FROM kept GROUP BY 1) k USING (day)
+   JOIN shares USING (day) JOIN (SELECT day, count(*) AS near FROM num GROUP BY 1) j USING (day) JOIN (SELECT day, count(*) AS kept FROM kept GROUP BY 1) k USING (day)
    LEFT JOIN (SELECT day, count(*) AS outages, sum(b - a) AS outage_s FROM silence s WHERE EXISTS (SELECT 1 FROM flights f WHERE f.day = s.day AND f.t_first < s.a AND f.t_last > s.b) GROUP BY 1) o USING (day)""",
-   "rep", "fresh", "smoothed", "fix", "num", "kept", "silence", "flights"))
+   "rep", "fresh", "smoothed", "fix", "num", "kept", "silence", "flights", "shares"))
 def d1(spark, d):
     raw = q_clean._reports(spark, d)
     near = q_clean._fresh_sec(spark, d)
     clean = cut_lineage(q_clean.clean(spark, d))
     out = audit.audit_days(raw, cl.fresh_reports(raw), near, cl.drop_jumps(near), clean, gr.leg_to_grid(clean), gr.report_gaps(clean), q_clean.c18(spark, d))
-    return rounded(out.select("day", "rows_in_file", "messages", "aircraft", "legs", "messages_in_legs", "dropped_jumps", "gaps_over_10s", "outages", "outage_s",
-                              "stale_position_share", "baro_alt_share", "geo_alt_share", "onground_share"))
+    return rounded(out.select("day", "rows_in_file", "messages", "aircraft", "legs", "messages_in_legs", "messages_in_radius", "airborne_in_volume", "dropped_jumps", "gaps_over_10s", "outages",
+                              "outage_s", "stale_position_share", "baro_alt_share", "geo_alt_share", "onground_share", "interp_share", "interp_long_share"))
 
 
 @query("d2_profile_detection")
