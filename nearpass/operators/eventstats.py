@@ -157,12 +157,26 @@ def long_metrics(risk: DataFrame, metrics, keep=("event_id", "day")) -> DataFram
     ).select(*keep, "e_pre", "e_post", "_m.*")
 
 
+def continuous_results(risk: DataFrame, metrics, group) -> DataFrame:
+    """Medians and rank tests of continuous endpoints, one row per (group, endpoint); a metric without scores has no tests against the baseline."""
+    score = lambda w, m: (F.col(f"{w}_{m}_z") if f"{w}_{m}_z" in risk.columns else F.lit(None)).cast("double").alias(f"{w}_z")
+    rows = F.array(*[F.struct(F.lit(m).alias("endpoint"), *[F.col(f"{w}_{m}").cast("double").alias(w) for w in ("pre", "post")], *[score(w, m) for w in ("pre", "post")]) for m in metrics])
+    key = [*group, "endpoint"]
+    long = cut_lineage(risk.filter(~F.col("excluded")).select(*group, F.explode(rows).alias("_m")).select(*group, "_m.*"))
+    half = grouped_quantiles(long, ["pre", "post"], [0.5], key).select(*key, *[F.get(w, F.lit(0)).alias(f"median_{w}") for w in ("pre", "post")])
+    out = long.groupBy(*key).agg(F.count(F.lit(1)).alias("n_events")).join(half, key)
+    for name, value in (("paired", F.col("post") - F.col("pre")), ("pre", F.col("pre_z")), ("post", F.col("post_z"))):
+        out = out.join(signed_rank(long.withColumn("_d", value), "_d", key).select(*key, F.col("p_value").alias(f"wilcoxon_{name}_p")), key, "left")
+    return out.withColumn("kind", F.lit("continuous"))
+
+
 def primary_results(risk: DataFrame, metrics, *, reps: int, seed, group=("event_set",), primary: str = "T1_any",
-                    alphas: DataFrame | None = None, cfg: Baseline = BASELINE) -> DataFrame:
-    """All count endpoints of all event sets in one grouped pass.
+                    alphas: DataFrame | None = None, continuous=(), cfg: Baseline = BASELINE) -> DataFrame:
+    """All endpoints of all event sets: counts in one grouped pass, continuous ones in another, as rows of one table.
 
     Rate ratio, standardised ratios before and after, rank tests, detectable
-    effects, and the Holm correction over the secondary endpoints.
+    effects; medians of continuous endpoints; the Holm correction runs over the
+    secondary endpoints of both kinds.
     """
     key = [*group, "endpoint"]
     rows = cut_lineage(long_metrics(risk, metrics, ("event_id", "day", *group)))
@@ -181,7 +195,10 @@ def primary_results(risk: DataFrame, metrics, *, reps: int, seed, group=("event_
         out = out.join(alphas.select("endpoint", "alpha"), "endpoint", "left")
     alpha = F.coalesce("alpha", F.lit(0.0)) if alphas is not None else F.lit(0.0)
     d_irr, d_sir = minimum_detectable(F.col("sum_pre"), F.col("sum_expected_post"), F.col("n_events"), alpha, cfg)
-    out = out.withColumns({"mde_irr": d_irr, "mde_sir": d_sir, "primary": F.col("endpoint") == primary})
+    out = out.withColumns({"mde_irr": d_irr, "mde_sir": d_sir, "kind": F.lit("count")})
+    if continuous:
+        out = out.unionByName(continuous_results(risk, list(continuous), list(group)), allowMissingColumns=True)
+    out = out.withColumn("primary", F.col("endpoint") == primary)
     for c in ("wilcoxon_paired_p", "wilcoxon_post_p"):
         out = holm(out, c, f"{c}_holm", [*group, "primary"])
         out = out.withColumn(f"{c}_holm", F.when(~F.col("primary"), F.col(f"{c}_holm")))

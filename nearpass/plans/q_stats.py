@@ -174,13 +174,30 @@ def st14(spark, d):
     return es.event_sets(risk(spark, d)).groupBy("event_set").agg(F.count(F.lit(1)).alias("n"), F.sum("pre_T1_any").alias("pre"), F.sum("post_T1_any").alias("post"))
 
 
-@query("st11_primary_results", statement(f"""SELECT event_set, count(*) AS n_events, sum(pre_T1_any)::BIGINT AS sum_pre, sum(post_T1_any)::BIGINT AS sum_post,
-   {r('sum(pre_pair_hours) AS exposure_pre_h', 'sum(post_expected) AS sum_expected_post', 'sum(post_T1_any) / sum(post_expected) AS sir_post')} FROM (
-   SELECT 'all' AS event_set, * FROM use UNION ALL SELECT 'in_control_pre', * FROM use WHERE pre_ok UNION ALL SELECT outcome || '_only', * FROM use) GROUP BY 1""", "use"))
+cte("sets", "SELECT 'all' AS event_set, * FROM use UNION ALL SELECT 'in_control_pre', * FROM use WHERE pre_ok UNION ALL SELECT outcome || '_only', * FROM use", "use")
+cte("setday", """SELECT event_set || '|' || w AS k, day, sum(o) AS a, sum(e) AS b FROM (SELECT event_set, 'pre' AS w, day0 AS day, pre_T1_any AS o, pre_expected AS e FROM sets
+   UNION ALL SELECT event_set, 'post', day0, post_T1_any, post_expected FROM sets) GROUP BY ALL""", "sets")
+boot_cte("setb", "setday", "k", ["a", "b"], ["setday"])
+cte("setci", f"SELECT g, {ci('a / b', 's')} FROM setb GROUP BY g", "setb")
+cte("setth0", "SELECT event_set, ln(sum(b) * sum(e1) / (sum(a) * sum(e2))) AS th FROM setx GROUP BY 1", "setx")
+cte("setx", """SELECT event_set, pre_T1_any AS a, post_T1_any AS b, pre_pair_hours AS e1, post_pair_hours AS e2 FROM sets
+   WHERE pre_pair_hours > 0 AND post_pair_hours > 0 AND pre_T1_any + post_T1_any > 0""", "sets")
+for _i in range(7):
+    cte(f"setth{_i + 1}", f"""SELECT event_set, th + sum(b - (a+b) * exp(th)*e2 / (e1 + exp(th)*e2)) / sum((a+b) * exp(th)*e2*e1 / pow(e1 + exp(th)*e2, 2)) AS th
+      FROM setx JOIN setth{_i} USING (event_set) GROUP BY event_set, th""", "setx", f"setth{_i}")
+
+
+@query("st11_primary_results", statement(f"""SELECT event_set, 'T1_any' AS endpoint, 'count' AS kind, n_events, s0::BIGINT AS sum_pre, s1::BIGINT AS sum_post,
+   {r('h0 AS exposure_pre_h', 'h1 AS exposure_post_h', 'e0 AS sum_expected_pre', 'e1 AS sum_expected_post', 's0 / e0 AS sir_pre', 'p.s_lo AS sir_pre_lo', 'p.s_hi AS sir_pre_hi', 's1 / e1 AS sir_post', 'q.s_lo AS sir_post_lo', 'q.s_hi AS sir_post_hi',
+      'exp((1.959963984540054 + 0.8416212335729143) * sqrt(2 / s0)) AS mde_irr', 'exp((1.959963984540054 + 0.8416212335729143) * sqrt(1 / e1)) AS mde_sir')}, round(exp(th), 5) AS irr, NULL::DOUBLE AS median_pre, NULL::DOUBLE AS median_post
+  FROM (SELECT event_set, count(*) AS n_events, sum(pre_T1_any) AS s0, sum(post_T1_any) AS s1, sum(pre_pair_hours) AS h0, sum(post_pair_hours) AS h1, sum(pre_expected) AS e0, sum(post_expected) AS e1 FROM sets GROUP BY 1) x
+  JOIN setci p ON p.g = event_set || '|pre' JOIN setci q ON q.g = event_set || '|post' JOIN setth7 USING (event_set)
+  UNION ALL SELECT event_set, 'pair_hours', 'continuous', count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(median(pre_pair_hours), 6), round(median(post_pair_hours), 6) FROM sets GROUP BY 1""",
+  "sets", "setci", "setth7"))
 def st11(spark, d):
-    out = es.primary_results(es.event_sets(risk(spark, d)), ["T1_any"], reps=REPS, seed=SEED)
-    return rounded(out.select("event_set", "n_events", F.col("sum_pre").cast("bigint").alias("sum_pre"), F.col("sum_post").cast("bigint").alias("sum_post"),
-                              "exposure_pre_h", "sum_expected_post", "sir_post"))
+    out = es.primary_results(es.event_sets(risk(spark, d)), ["T1_any"], reps=REPS, seed=SEED, continuous=["pair_hours"])
+    cols = ["exposure_pre_h", "exposure_post_h", "sum_expected_pre", "sum_expected_post", "sir_pre", "sir_pre_lo", "sir_pre_hi", "sir_post", "sir_post_lo", "sir_post_hi", "mde_irr", "mde_sir", "median_pre", "median_post"]
+    return rounded(out.select("event_set", "endpoint", "kind", "n_events", F.col("sum_pre").cast("bigint").alias("sum_pre"), F.col("sum_post").cast("bigint").alias("sum_post"), *cols, F.round("irr", 5).alias("irr")))
 
 
 cte("ep", """SELECT r.day0 AS day, m AS minute, (SELECT count(*) FROM study s WHERE s.event_type = 'click' AND s.t >= r.t0 + m*60 AND s.t < r.t0 + m*60 + 60) AS o,
