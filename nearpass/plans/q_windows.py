@@ -418,13 +418,20 @@ def j16(spark, d):
 
 cte("other", """SELECT event_id AS det_id, 'u' || user_id AS icao24, t - 3600 AS d_start, t + 3600 AS d_stop FROM study WHERE event_type = 'view' AND value > 60""", "study")
 cte("m0", """SELECT g.event_id, o.det_id, g.t_low, o.d_start FROM ga g JOIN other o ON o.icao24 = g.icao24 AND g.t_low BETWEEN o.d_start - 90 AND o.d_stop + 90""", "ga", "other")
-# greedy one-to-one: a pair is kept when it is the first of both sides, round by round
-cte("m1", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d_start, det_id) AS i, row_number() OVER (PARTITION BY det_id ORDER BY t_low, event_id) AS j FROM m0)", "m0")
-
-
-@query("j21_detector_match")
+# one to one, round by round: a pair is settled when it is the first of both sides
+ROUNDS = 20
+cte("match_left0", "SELECT event_id, det_id, t_low, d_start FROM m0", "m0")
+for _i in range(ROUNDS):
+    cte(f"match{_i}", f"""SELECT event_id, det_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d_start, det_id) AS i, row_number() OVER (PARTITION BY det_id ORDER BY t_low, event_id) AS j
+      FROM match_left{_i}) WHERE i = 1 AND j = 1""", f"match_left{_i}")
+    cte(f"match_left{_i + 1}", f"SELECT * FROM match_left{_i} WHERE event_id NOT IN (SELECT event_id FROM match{_i}) AND det_id NOT IN (SELECT det_id FROM match{_i})", f"match_left{_i}", f"match{_i}")
+cte("paired21", " UNION ALL ".join(f"SELECT * FROM match{_i}" for _i in range(ROUNDS)), *[f"match{_i}" for _i in range(ROUNDS)])
+
+
+@query("j21_detector_match", statement("""SELECT event_id, det_id, CASE WHEN det_id IS NULL THEN 'only_ours' ELSE 'both' END AS status FROM ga LEFT JOIN paired21 USING (event_id)
+   UNION ALL SELECT NULL, det_id, 'only_theirs' FROM other WHERE det_id NOT IN (SELECT det_id FROM paired21)""", "ga", "other", "paired21"))
 def j21(spark, d):
-    """Our events against another detector's intervals, one to one (greedy; checked by test)."""
+    """Our events against another detector's intervals, one to one."""
     other = views.study(spark, d).filter((F.col("event_type") == "view") & (F.col("value") > 60)).select(
         F.col("event_id").alias("det_id"), F.concat(F.lit("u"), "user_id").alias("leg_id"),
         (F.col("t") - 3600).alias("d_start"), (F.col("t") + 3600).alias("d_stop"))
