@@ -109,6 +109,16 @@ _PARTS = re.compile(rf"[ {re.escape(SEPARATORS)}]+")
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 
 
+#: One letter for all that may be taken for one another: a word and all its disguises have one skeleton.
+_SKELETON = {ord("l"): "i", **{ord(c): "i" if set(letters) & set("il") else letters for c, letters in LOOKS_LIKE.items()}}
+#: Skeletons of a whole run: what is neither letter nor mark parts it.
+_GAPS = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord(c): " " for c in SEPARATORS} | _SKELETON
+
+
+def _skeleton(word: str) -> str:
+    return _squeezed(word.translate(_SKELETON))
+
+
 def _squeezed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
@@ -290,15 +300,14 @@ def spelled(run: str) -> bool:
 
 
 def may_hold(parts: list[str], starts: dict[str, list[str]]) -> bool:
-    """Whether letters of several parts, from the start of one on and over its end, can be read as a word that has a feature."""
-    whole = "".join(parts)
-    if not whole.isalpha() or _RUN.search(whole):
-        return any(c.isalpha() for c in whole)
-    at = 0
+    """Whether skeletons of several parts, from the start of one on and over its end, begin with that of a known word."""
+    whole, at = "".join(parts), 0
     for p in parts[:-1]:
-        ahead = _squeezed(whole[at:at + 2 * SPELLED])
-        if any(ahead.startswith(f) for f in starts.get(ahead[:3], ())):
-            return True
+        a, b, c = whole[at:at + 1], whole[at + 1:at + 2], whole[at + 2:at + 3]
+        if a == b or b == c or a + b + c in starts or a + b in starts or a in starts:
+            ahead = _squeezed(whole[at:at + 2 * SPELLED])
+            if any(ahead.startswith(f) for n in (1, 2, 3) for f in starts.get(ahead[:n], ())):
+                return True
         at += len(p)
     return False
 
@@ -362,10 +371,11 @@ class _Known:
     def __init__(self, decoder: Decoder, shares: dict[str, float]):
         self.decoder, self.shares = decoder, shares
         self.starts: dict[str, list[str]] = {}
-        for f in (f for f in shares if f[0] == "="):
-            self.starts.setdefault(f[1:4], []).append(f[1:])
+        for f in shares:
+            if f[0] == "=":
+                bones = _skeleton(f[1:])
+                self.starts.setdefault(bones[:3], []).append(bones)
         self.words: dict[str, tuple[str, ...]] = {}
-        self.runs: dict[str, tuple[str, ...]] = {}
 
     def _found(self, words) -> set[str]:
         each = ([f for f in features(w) if f in self.shares] for w in words)
@@ -373,10 +383,13 @@ class _Known:
 
     def _parts(self, parts: list[str]) -> tuple[str, ...]:
         found = self._found(set(map(self.decoder.part, parts)))
-        if len(parts) > 1 and may_hold(parts, self.starts):
+        return tuple(sorted(found | self._spelled(parts))) if len(parts) > 1 else tuple(found)
+
+    def _spelled(self, parts: list[str]) -> set[str]:
+        if may_hold([p.translate(_SKELETON) for p in parts], self.starts):
             # a word put together from parts counts as a whole only: its beginning may be the end of another
-            found |= {f for w in self.decoder.read(parts)[1] for f in features(w)[:1] if f in self.shares}
-        return tuple(sorted(found))
+            return {f for w in self.decoder.read(parts)[1] for f in features(w)[:1] if f in self.shares}
+        return set()
 
     def _kept(self, cache: dict, key: str, value: tuple[str, ...]) -> tuple[str, ...]:
         if len(key) <= CACHED_LENGTH:
@@ -388,17 +401,21 @@ class _Known:
     def word(self, word: str) -> tuple[str, ...]:
         got = self.words.get(word)
         if got is None:
-            got = self._kept(self.words, word, tuple(f for cut in _CUT.split(word) if cut for f in self._parts(parts_of(cut))))
+            cuts = [[word]] if word.isalpha() else [parts_of(cut) for cut in _CUT.split(word) if cut]
+            got = self._kept(self.words, word, tuple(f for parts in cuts for f in self._parts(parts)))
         return got
 
-    def run(self, run: str) -> tuple[str, ...]:
-        got = self.runs.get(run)
-        return self._kept(self.runs, run, self._parts(run_parts(run))) if got is None else got
+    def run(self, run: str) -> set[str]:
+        """Words spelled over the parts of a run; its parts have been read as words."""
+        plain = run if run.isascii() else _CUT.sub(" ", run)
+        if "!" not in run and not may_hold(plain.translate(_GAPS).split(), self.starts):
+            return set()
+        return {f for r in runs_of(run) for f in self._spelled(run_parts(r))}
 
     def of(self, text: str) -> set[str]:
         lower = text.lower()
         found = {f for w in set(lower.split()) for f in self.word(w)}
-        return found.union(*map(self.run, runs_of(lower))) if self.shares else found
+        return found.union(*map(self.run, set(_FRAGMENTS.findall(lower)))) if self.shares else found
 
 
 def _scored(docs: DataFrame, evidence: Evidence, model: np.ndarray, text: str, score: str) -> DataFrame:

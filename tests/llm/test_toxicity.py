@@ -143,6 +143,27 @@ def test_different_texts_with_one_word_in_common_all_count(spark):
     assert "=dolt" in shares and "=mono" not in shares and "=kind" not in shares
 
 
+def test_runs_that_are_not_decoded_hold_nothing(learned, monkeypatch):
+    rng = random.Random(3)
+    shares = {**learned[1].shares, "=ail": 0.9, "=häß": 0.9}
+    looks = {**{a: c for c, letters in toxicity.LOOKS_LIKE.items() for a in letters}, "r": "r"}
+    texts = []
+    for _ in range(400):
+        run = []
+        for w in rng.choices(["loser", "idiot", "scum", "ail", "häß", "of", "the", "a", "10", "it's", "“er”"], k=4):
+            for c in w:
+                c = looks.get(c, c) if rng.random() < 0.1 else c
+                run.append(c * (3 if rng.random() < 0.05 else 1) + rng.choice(["", "", " ", " ", ".", ", ", "! "]))
+            run.append(" ")
+        texts.append("".join(run))
+    known = toxicity._Known(toxicity.Decoder(learned[0]), shares)
+    got = [known.of(x) for x in texts]
+    assert sum(map(bool, got)) > 200
+    monkeypatch.setattr(toxicity, "may_hold", lambda parts, starts: True)
+    known = toxicity._Known(toxicity.Decoder(learned[0]), shares)
+    assert got == [known.of(x) for x in texts]
+
+
 def test_any_column_names(spark, learned):
     df = spark.createDataFrame([(1, "you l0ser", "a", 3, 0.5)], "doc_id long, text string, _id string, _y int, score double")
     labels = spark.createDataFrame([(1, 1, 2, "x")], "doc_id long, toxic int, _id int, _y string")
