@@ -197,8 +197,10 @@ def fit_count_model(df: DataFrame, metric: str, cfg: Baseline = BASELINE, factor
 
 
 def cluster_poisson(df: DataFrame, y: str, numeric, factors, *, weight: str, cluster: str, cfg: Baseline = BASELINE) -> DataFrame:
-    """Weighted Poisson regression with a sandwich covariance clustered by one column."""
+    """Weighted Poisson regression with a sandwich covariance clustered by one column; without rows the coefficients are null."""
     df = cut_lineage(df)
+    if df.isEmpty():
+        return df.sparkSession.createDataFrame([(n, None, None) for n in ("intercept", *numeric)], "term string, coef double, se double")
     lev = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("l")) for f in factors])).alias("x")).select("x.*").distinct().collect()
     terms = []
     for f in factors:
