@@ -7,6 +7,7 @@ from nearpass.plans import catalog, registry  # noqa: F401
 from tests.compare import compare
 
 EMPTY = [
+    "m4_did_ratio",
 ]
 
 
