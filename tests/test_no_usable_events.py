@@ -9,6 +9,7 @@ from tests.compare import compare
 EMPTY = [
     "m4_did_ratio",
     "m8_before_checks",
+    "st3_equilibrium",
 ]
 
 
