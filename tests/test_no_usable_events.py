@@ -10,6 +10,7 @@ EMPTY = [
     "m4_did_ratio",
     "m8_before_checks",
     "st3_equilibrium",
+    "st4_rate_ratio_mle",
 ]
 
 
