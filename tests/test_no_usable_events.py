@@ -11,6 +11,7 @@ EMPTY = [
     "m8_before_checks",
     "st3_equilibrium",
     "st4_rate_ratio_mle",
+    "st7_continuous_medians",
 ]
 
 
