@@ -12,6 +12,7 @@ EMPTY = [
     "st3_equilibrium",
     "st4_rate_ratio_mle",
     "st7_continuous_medians",
+    "st8_signed_rank",
 ]
 
 
