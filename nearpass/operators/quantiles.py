@@ -8,6 +8,10 @@ shuffled, so that a pass moves as many rows as there are buckets, whatever the n
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.plan import cut_lineage
@@ -34,6 +38,23 @@ def grouped_quantiles(df: DataFrame, values, qs, group=(), *, gathered: int | No
     place = [F.lit(q) * (F.col("_n") - 1) for q in qs]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p).cast("long"), F.ceil(p).cast("long")) for p in place])))
     ranges = sizes.filter("_n > 0").select(*key, F.explode(ranks).alias("_k"), F.lit(0).cast("long").alias("_base"), "_lo", "_hi", F.col("_n").alias("_size"))
+    found = _selected(known, ranges, key, gathered, buckets)
+    held = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_at"))).alias("_m"))
+    every = _null_safe(sizes, held, key)
+
+    def at(p):
+        low, high = F.floor(p).cast("long"), F.ceil(p).cast("long")
+        a, b = F.try_element_at("_m", low), F.try_element_at("_m", high)
+        return F.when(low == high, a).otherwise(a * (high - p) + b * (p - low))
+
+    line = every.select(*group, "_c", "_n", F.when(F.col("_n") > 0, F.array(*[at(p) for p in place])).alias("_q"))
+    cells = [x for i, name in enumerate(values) for x in (
+        F.max(F.when(F.col("_c") == i, F.col("_n"))).alias(f"n_{name}"), F.max_by("_q", F.when((F.col("_c") == i) & (F.col("_n") > 0), 1)).alias(name))]
+    return line.groupBy(*group).agg(*cells)
+
+
+def _selected(known: DataFrame, ranges: DataFrame, key, gathered: int, buckets: int) -> DataFrame:
+    """The value ``_at`` of every rank ``_k`` that a range holds."""
     done = None
     while True:
         ranges = cut_lineage(ranges)
@@ -45,19 +66,70 @@ def grouped_quantiles(df: DataFrame, values, qs, group=(), *, gathered: int | No
         ranges = _narrowed(_inside(known, open_, key), key, buckets)
     single = done.filter("_lo = _hi").select(*key, "_k", F.col("_lo").alias("_at"))
     few = _inside(known, cut_lineage(done.filter("_lo < _hi")), key).groupBy(*key, "_k", "_base").agg(F.sort_array(F.collect_list("_v")).alias("_l"))
-    found = single.unionByName(few.select(*key, "_k", F.get("_l", (F.col("_k") - F.col("_base")).cast("int")).alias("_at")))
-    held = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_at"))).alias("_m"))
-    every = _null_safe(sizes, held, key)
+    return single.unionByName(few.select(*key, "_k", F.get("_l", (F.col("_k") - F.col("_base")).cast("int")).alias("_at")))
 
-    def at(p):
-        low, high = F.floor(p).cast("long"), F.ceil(p).cast("long")
-        a, b = F.try_element_at("_m", low), F.try_element_at("_m", high)
-        return F.when(low == high, a).otherwise(a * (high - p) + b * (p - low))
 
-    line = every.select(*group, "_c", "_n", F.when(F.col("_n") > 0, F.array(*[at(p) for p in place])).alias("_q"))
-    cells = [x for i, name in enumerate(values) for x in (
-        F.max(F.when(F.col("_c") == i, F.col("_n"))).alias(f"n_{name}"), F.max_by("_q", F.when((F.col("_c") == i) & (F.col("_n") > 0), 1)).alias(name))]
-    return line.groupBy(*group).agg(*cells)
+def guided_quantile(df: DataFrame, values, q: float, group, *, by, part: int = 64, gathered: int | None = None, buckets: int | None = None) -> DataFrame:
+    """One row per group: (group, n, <value>) with the exact quantile ``q`` of each value, linear between ranks; for few groups of very many rows.
+
+    Null and NaN values are left out, ``n`` counts all rows. A sample (one row in ``part`` by the hash of the columns ``by``) only says where to look:
+    it gives an interval around each quantile, all rows are counted against it, and the rank is selected among the values inside. A group whose
+    rank lies outside after all goes the whole way of ``grouped_quantiles``. ``df`` is read three times and not stored.
+    """
+    group, values = list(group), list(values)
+    df = df.withColumns({v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")) for v in values})
+    # five standard deviations of a rank in a sample of m values, and the sketch's own error
+    widths = [w for w in (0.002, 0.004, 0.008, 0.016, 0.03, 0.06, 0.12, 0.25) if w < min(q, 1 - q)]
+    at = [q - w for w in widths] + [q + w for w in widths]
+    some = df.filter(F.pmod(F.xxhash64(*by), F.lit(part)) == 0).groupBy(*group).agg(
+        *[x for i, v in enumerate(values) for x in (F.count(v).alias(f"_m{i}"), F.percentile_approx(v, at, 2000).alias(f"_p{i}"))])
+    edges = []
+    for i in range(len(values)):
+        need = 5 * math.sqrt(q * (1 - q)) / F.sqrt(f"_m{i}") + 0.001
+        low = high = None
+        for k, w in enumerate(widths):
+            a, b = F.get(f"_p{i}", F.lit(k)), F.get(f"_p{i}", F.lit(len(widths) + k))
+            low, high = (F.when(need <= w, a), F.when(need <= w, b)) if low is None else (low.when(need <= w, a), high.when(need <= w, b))
+        edges += [F.lit(None).cast("double").alias(f"_a{i}") if low is None else low.alias(f"_a{i}"), F.lit(None).cast("double").alias(f"_b{i}") if high is None else high.alias(f"_b{i}")]
+    guide = cut_lineage(some.select(*group, *edges))
+    infinite = F.lit(float("inf"))
+    rows = _null_safe(df.select(*group, *values), F.broadcast(guide), group)
+    rows = rows.withColumns({f"_{e}{i}": F.coalesce(f"_{e}{i}", w) for i in range(len(values)) for e, w in (("a", -infinite), ("b", infinite))})
+    within = [(F.col(v) > F.col(f"_a{i}")) & (F.col(v) < F.col(f"_b{i}")) for i, v in enumerate(values)]
+    total = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[x for i, v in enumerate(values) for x in (
+        F.count(v).alias(f"_n{i}"), F.count_if(F.col(v) < F.col(f"_a{i}")).alias(f"_under{i}"), F.count_if(F.col(v) == F.col(f"_a{i}")).alias(f"_low{i}"),
+        F.count_if(within[i]).alias(f"_mid{i}"), F.count_if((F.col(v) == F.col(f"_b{i}")) & (F.col(f"_a{i}") < F.col(f"_b{i}"))).alias(f"_high{i}"),
+        F.first(f"_a{i}").alias(f"_a{i}"), F.first(f"_b{i}").alias(f"_b{i}"))])
+    total = cut_lineage(total)
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), *[F.col(f"_{c}{i}").alias(f"_{c}") for c in ("n", "under", "low", "mid", "high", "a", "b")]) for i in range(len(values))]))
+    ranks = total.select(*group, cell.alias("_x")).select(*group, "_x.*").filter("_n > 0")
+    place = F.lit(q) * (F.col("_n") - 1)
+    ranks = ranks.withColumn("_k", F.explode(F.array_distinct(F.array(F.floor(place).cast("long"), F.ceil(place).cast("long")))))
+    to_low, to_mid = F.col("_under") + F.col("_low"), F.col("_under") + F.col("_low") + F.col("_mid")
+    k = F.col("_k")
+    ranks = ranks.withColumn("_side", F.when(k < F.col("_under"), "out").when(k < to_low, "low").when(k < to_mid, "mid").when(k < to_mid + F.col("_high"), "high").otherwise("out"))
+    ranks = cut_lineage(ranks)
+    key = [*group, "_c"]
+    missed = ranks.filter("_side = 'out'").select(*group).distinct()
+    middle = rows.filter(reduce(operator.or_, within)).select(*group, F.explode(F.array_compact(F.array(*[
+        F.when(w, F.struct(F.lit(i).alias("_c"), F.col(v).alias("_v"))) for i, (v, w) in enumerate(zip(values, within))]))).alias("_x")).select(*group, "_x.*")
+    middle = cut_lineage(middle)
+    span = middle.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_size"))
+    ranges = _null_safe(ranks.filter("_side = 'mid'").select(*key, "_k", to_low.alias("_base")), span, key, "inner").select(*key, "_k", "_base", "_lo", "_hi", "_size")
+    found = _selected(middle, ranges, key, gathered or GATHERED, buckets or BUCKETS)
+    found = found.unionByName(ranks.filter("_side IN ('low', 'high')").select(*key, "_k", F.when(F.col("_side") == "low", F.col("_a")).otherwise(F.col("_b")).alias("_at")))
+    # the lower of two ranks has the smaller value; one rank alone is both
+    place = F.lit(q) * (F.col("_n") - 1)
+    part_ = place - F.floor(place)
+    ends = found.groupBy(*key).agg(F.min("_at").alias("_l"), F.max("_at").alias("_h"))
+    line = _null_safe(ranks.select(*key, "_n").distinct(), ends, key, "inner").select(*group, "_c", F.when(part_ == 0, F.col("_l")).otherwise(F.col("_l") * (1 - part_) + F.col("_h") * part_).alias("_q"))
+    cells = line.groupBy(*group).agg(*[F.max(F.when(F.col("_c") == i, F.col("_q"))).alias(v) for i, v in enumerate(values)])
+    out = _null_safe(total.select(*group, "n"), cells, group).select(*group, "n", *values)
+    if missed.isEmpty():
+        return out
+    again = grouped_quantiles(_null_safe(df, F.broadcast(missed), group, "left_semi"), values, [q], group, gathered=gathered, buckets=buckets)
+    again = _null_safe(total.select(*group, "n"), again, group, "inner").select(*group, "n", *[F.get(v, F.lit(0)).alias(v) for v in values])
+    return _null_safe(out, missed, group, "left_anti").unionByName(again)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, key, how: str = "left") -> DataFrame:

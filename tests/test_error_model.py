@@ -1,11 +1,14 @@
-"""Dead-reckoning samples without one row per horizon before the join."""
+"""Dead-reckoning samples without one row per horizon before the join, and medians found where a sample points."""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from nearpass.operators import probability as pb
+from nearpass.operators import probability as pb, quantiles as qt
 
 COLS = "day string, leg bigint, t bigint, x double, y double, h double, vx double, vy double, vz double, track double, phase bigint"
 
@@ -30,3 +33,36 @@ def test_error_samples_write_no_row_per_horizon(spark):
     _, df = _states(spark)
     plan = pb.error_samples(df, df)._jdf.queryExecution().optimizedPlan().toString()
     assert "10,20,30" not in plan.replace(" ", "")
+
+
+@pytest.mark.parametrize("by", [["i"], ["side"]])
+def test_guided_quantile_is_exact(spark, by):
+    """``side`` makes a sample of the smallest values only, so that the ranks lie outside the guessed intervals."""
+    rnd = random.Random(7)
+    values = sorted([rnd.gauss(0, 1e-12) for _ in range(20_000)] + [0.0] * 9_000 + [rnd.uniform(-9, 9) for _ in range(11_000)])
+    rows = [(k % 2, i, v, None if i % 5 == 0 else float("nan") if i % 5 == 1 else abs(v)) for i, v in enumerate(values) for k in (i,)]
+    low = next(k for k in range(99) if spark.range(1).select(F.pmod(F.xxhash64(F.lit(k)), F.lit(8))).first()[0] == 0)
+    high = next(k for k in range(99) if spark.range(1).select(F.pmod(F.xxhash64(F.lit(k)), F.lit(8))).first()[0] != 0)
+    df = spark.createDataFrame([(*r, low if r[1] < 9_000 else high) for r in rows], "g int, i int, v double, w double, side int")
+    got = {r.g: r for r in qt.guided_quantile(df, ["v", "w"], 0.5, ["g"], by=by, part=8, gathered=100, buckets=16).collect()}
+    for g in (0, 1):
+        v = [r[2] for r in rows if r[0] == g]
+        w = [r[3] for r in rows if r[0] == g and r[3] is not None and r[3] == r[3]]
+        assert got[g].n == len(v)
+        assert (got[g].v, got[g].w) == (pytest.approx(np.median(v), rel=1e-12, abs=0), pytest.approx(np.median(w), rel=1e-12, abs=0))
+
+
+def test_error_model_stores_no_samples(spark, monkeypatch):
+    """The samples outnumber the aircraft-seconds by the horizons; what is written must not."""
+    _, df = _states(spark)
+    samples = pb.error_samples(df, df)
+    total, stored = samples.count(), []
+
+    def cut(one, old=pb.cut_lineage):
+        done = old(one)
+        stored.append(done.count())
+        return done
+
+    monkeypatch.setattr(pb, "cut_lineage", cut)
+    pb.fit_error_model(samples).collect()
+    assert max(stored) < total / 10
