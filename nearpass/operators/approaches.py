@@ -17,6 +17,8 @@ from .intervals import interval_join
 
 LEG = ["day", "leg"]
 APP = ["day", "leg", "start"]
+#: One measured approach; numbers first, as they sort faster than texts.
+SPAN = ["leg", "start", "day", "end", "runway", "icao24"]
 
 
 def with_row_index(points: DataFrame) -> DataFrame:
@@ -106,14 +108,17 @@ def _first(cond, *fields):
 def measure(rows: DataFrame, spans: DataFrame, cfg: Approach = APPROACH) -> DataFrame:
     """Profile metrics of each approach over its segment and the aftermath.
 
-    All steps are windows on (day, leg, start); runs are found from row-index
-    gaps, durations from seconds.
+    All steps are windows on one approach; runs are found from row-index gaps,
+    durations from seconds. A task keeps every sort of its rows until it ends, so
+    the steps follow each other in two orders only: by row, then by climbing run.
     """
     zone = spans.withColumn("_until", F.col("end") + cfg.aftermath_s)
-    p = interval_join(rows.drop("icao24"), zone, keys=LEG, lo="start", hi="_until", closed=True)
-    all_ = W.partitionBy(*APP)
-    run = all_.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    before = all_.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    used = ["t", "x", "y", "agl", "vrate", "groundspeed", "onground", "i", "t_next", "tail"]
+    p = interval_join(rows.select(*LEG, *used), zone, keys=LEG, lo="start", hi="_until", closed=True).select(*SPAN, *used)
+    by_row = W.partitionBy(*SPAN).orderBy("i")
+    all_ = by_row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    run = by_row.rowsBetween(W.unboundedPreceding, 0)
+    before = by_row.rowsBetween(W.unboundedPreceding, -1)
     seg = F.col("t") <= F.col("end")
     p = p.withColumn("low", F.min(F.when(seg & F.col("agl").isNotNull(), F.struct("agl", "i", "t", "x", "y"))).over(all_))
     p = p.withColumns({
@@ -127,19 +132,19 @@ def measure(rows: DataFrame, spans: DataFrame, cfg: Approach = APPROACH) -> Data
 
     p = p.withColumns({"_nb": run_no("band", cfg.plateau_row_gap), "_nc": run_no("climb", cfg.climb_row_gap)})
     p = p.withColumns({"brun": F.sum("_nb").over(run), "crun": F.sum("_nc").over(run)})
-    climbing = W.partitionBy(*APP, "crun")
+    p = p.withColumn("low_run", F.max(F.when(F.col("i") == F.col("low.i"), F.col("brun"))).over(all_))
+    climbing = W.partitionBy(*SPAN, "crun")
     p = p.withColumns({
-        "low_run": F.max(F.when(F.col("i") == F.col("low.i"), F.col("brun"))).over(all_),
         "_c0": F.min(F.when(F.col("climb"), F.col("t"))).over(climbing),
         "_c1": F.max(F.when(F.col("climb"), F.col("t"))).over(climbing),
     })
     good = F.col("climb") & (F.col("_c1") - F.col("_c0") >= cfg.climb_min_s) & (F.col("_c0") - F.col("low.t") <= cfg.climb_within_s)
-    p = p.withColumn("cs", _first(good, "t", "agl", "x", "y").over(all_))
+    p = p.withColumn("cs", _first(good, "t", "agl", "x", "y").over(W.partitionBy(*SPAN)))
     plateau = F.col("band") & (F.col("brun") == F.col("low_run"))
     upto = F.col("i") <= F.col("low.i")
     above = F.when(upto & (F.col("agl") > F.col("low.agl") + cfg.plateau_band_ft), F.struct("i", "t_next"))
     in_peak = (F.col("i") >= F.col("cs.i")) & (F.col("i") < F.col("cs.i") + cfg.peak_rows)
-    m = p.groupBy(*APP, "icao24", "end", "runway").agg(
+    m = p.groupBy(*SPAN).agg(
         F.first("low").alias("low"), F.first("cs").alias("cs"), F.first("tail").alias("tail"),
         (F.max(F.when(plateau, F.col("t"))) - F.min(F.when(plateau, F.col("t")))).cast("double").alias("plateau_s"),
         F.max(above).alias("above"), F.min(F.struct("i", "t")).alias("head"),
