@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from nearpass.operators import events as evs
+from nearpass.operators import events as evs, eventstats as es
 
 SCHEMA = "approach_id bigint, outcome string, t_low bigint, t_climb bigint, k string"
 
@@ -32,3 +32,22 @@ def test_contamination_looks_back_over_days(spark, keys):
 def test_contamination_meets_no_pairs(spark):
     _, df = _approaches(spark, 50)
     assert "explode(" not in evs.event_table(df, 120)._jdf.queryExecution().analyzed().toString()
+
+
+def test_epoch_sums_count_every_event(spark):
+    rnd = random.Random(5)
+    seconds = sorted({rnd.randrange(80_000, 96_000) for _ in range(2_000)})
+    points = [(t, rnd.randrange(4), rnd.randrange(900)) for t in seconds]
+    events = [("a" if t < 88_000 else "b", t) for t in (rnd.choice(seconds) for _ in range(60))] * 2 + [("a", 80_000), ("b", 95_999)]
+    out = es.epoch_sums(spark.createDataFrame(points, "t bigint, u bigint, v bigint"), spark.createDataFrame(events, "day string, t0 bigint"), ["u", "v"])
+    want = {(d, m): (sum(e[0] == d for e in events), *[sum(p[c] for e, t0 in events if e == d for p in points if t0 + 60 * m <= p[0] < t0 + 60 * m + 60) for c in (1, 2)])
+            for d in "ab" for m in range(-30, 30)}
+    assert {(r.day, r.minute): (r.n, r.u, r.v) for r in out.collect()} == want
+
+
+def test_epoch_reads_a_shared_second_once(spark):
+    """A thousand events of one second ask for the edges of 60 minutes, not for 120 edges each."""
+    events = spark.createDataFrame([("d", 90_000)] * 1_000, "day string, t0 bigint")
+    out = es.epoch_sums(spark.createDataFrame([(t, 1) for t in range(88_000, 92_000)], "t bigint, u bigint"), events, ["u"])
+    plan = out._jdf.queryExecution().analyzed().toString()  # parents first
+    assert plan.rindex("explode(") < plan.rindex("count(1)") and all(r.u == 60_000 and r.n == 1_000 for r in out.filter("minute > -25").collect())
