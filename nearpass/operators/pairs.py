@@ -20,6 +20,11 @@ def presence(grid: DataFrame, runways, ceiling_ft: float, keys=("day",)) -> Data
     return geo.with_phase(air, runways)
 
 
+def with_presence(grid: DataFrame, runways, ceiling_ft: float) -> DataFrame:
+    """All rows of the grid, with the flight phase of those that are in ``presence`` and null for the others."""
+    return geo.with_phase(grid, runways).withColumn("phase", F.when(F.col("airborne") & (F.col("h") <= ceiling_ft), F.col("phase")))
+
+
 def crowded_seconds(rows: DataFrame, keys, limit: int) -> DataFrame:
     """Keys with more rows than ``limit`` and the number of parts to cut them into."""
     return (

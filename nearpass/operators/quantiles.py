@@ -69,29 +69,34 @@ def _selected(known: DataFrame, ranges: DataFrame, key, gathered: int, buckets:
     return single.unionByName(few.select(*key, "_k", F.get("_l", (F.col("_k") - F.col("_base")).cast("int")).alias("_at")))
 
 
-def guided_quantile(df: DataFrame, values, q: float, group, *, by, part: int = 64, gathered: int | None = None, buckets: int | None = None) -> DataFrame:
-    """One row per group: (group, n, <value>) with the exact quantile ``q`` of each value, linear between ranks; for few groups of very many rows.
-
-    Null and NaN values are left out, ``n`` counts all rows. A sample (one row in ``part`` by the hash of the columns ``by``) only says where to look:
-    it gives an interval around each quantile, all rows are counted against it, and the rank is selected among the values inside. A group whose
-    rank lies outside after all goes the whole way of ``grouped_quantiles``. ``df`` is read three times and not stored.
-    """
-    group, values = list(group), list(values)
-    df = df.withColumns({v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")) for v in values})
+def guides(sample: DataFrame, values, q: float, group) -> DataFrame:
+    """One row per group: an interval (_a<i>, _b<i>) around the quantile ``q`` of each value, null where the sample is too small for one."""
     # five standard deviations of a rank in a sample of m values, and the sketch's own error
     widths = [w for w in (0.002, 0.004, 0.008, 0.016, 0.03, 0.06, 0.12, 0.25) if w < min(q, 1 - q)]
     at = [q - w for w in widths] + [q + w for w in widths]
-    some = df.filter(F.pmod(F.xxhash64(*by), F.lit(part)) == 0).groupBy(*group).agg(
+    some = sample.groupBy(*group).agg(
         *[x for i, v in enumerate(values) for x in (F.count(v).alias(f"_m{i}"), F.percentile_approx(v, at, 2000).alias(f"_p{i}"))])
     edges = []
     for i in range(len(values)):
-        need = 5 * math.sqrt(q * (1 - q)) / F.sqrt(f"_m{i}") + 0.001
+        need = F.try_divide(F.lit(5 * math.sqrt(q * (1 - q))), F.sqrt(f"_m{i}")) + 0.001
         low = high = None
         for k, w in enumerate(widths):
             a, b = F.get(f"_p{i}", F.lit(k)), F.get(f"_p{i}", F.lit(len(widths) + k))
             low, high = (F.when(need <= w, a), F.when(need <= w, b)) if low is None else (low.when(need <= w, a), high.when(need <= w, b))
         edges += [F.lit(None).cast("double").alias(f"_a{i}") if low is None else low.alias(f"_a{i}"), F.lit(None).cast("double").alias(f"_b{i}") if high is None else high.alias(f"_b{i}")]
-    guide = cut_lineage(some.select(*group, *edges))
+    return cut_lineage(some.select(*group, *edges))
+
+
+def guided_quantile(df: DataFrame, values, q: float, group, *, by, part: int = 64, gathered: int | None = None, buckets: int | None = None) -> DataFrame:
+    """One row per group: (group, n, <value>) with the exact quantile ``q`` of each value, linear between ranks; for few groups of very many rows.
+
+    Null and NaN values are left out, ``n`` counts all rows. A sample (one row in ``part`` by the hash of the columns ``by``) only says where to look:
+    it gives an interval around each quantile, all rows are counted against it, and the rank is selected among the values inside. A group whose
+    rank lies outside after all goes the whole way of ``grouped_quantiles``. ``df`` is read three times and not stored.
+    """
+    group, values = list(group), list(values)
+    df = df.withColumns({v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")) for v in values})
+    guide = guides(df.filter(F.pmod(F.xxhash64(*by), F.lit(part)) == 0), values, q, group)
     infinite = F.lit(float("inf"))
     rows = _null_safe(df.select(*group, *values), F.broadcast(guide), group)
     rows = rows.withColumns({f"_{e}{i}": F.coalesce(f"_{e}{i}", w) for i in range(len(values)) for e, w in (("a", -infinite), ("b", infinite))})
@@ -101,30 +106,10 @@ def guided_quantile(df: DataFrame, values, q: float, group, *, by, part: int = 6
         F.count_if(within[i]).alias(f"_mid{i}"), F.count_if((F.col(v) == F.col(f"_b{i}")) & (F.col(f"_a{i}") < F.col(f"_b{i}"))).alias(f"_high{i}"),
         F.first(f"_a{i}").alias(f"_a{i}"), F.first(f"_b{i}").alias(f"_b{i}"))])
     total = cut_lineage(total)
-    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), *[F.col(f"_{c}{i}").alias(f"_{c}") for c in ("n", "under", "low", "mid", "high", "a", "b")]) for i in range(len(values))]))
-    ranks = total.select(*group, cell.alias("_x")).select(*group, "_x.*").filter("_n > 0")
-    place = F.lit(q) * (F.col("_n") - 1)
-    ranks = ranks.withColumn("_k", F.explode(F.array_distinct(F.array(F.floor(place).cast("long"), F.ceil(place).cast("long")))))
-    to_low, to_mid = F.col("_under") + F.col("_low"), F.col("_under") + F.col("_low") + F.col("_mid")
-    k = F.col("_k")
-    ranks = ranks.withColumn("_side", F.when(k < F.col("_under"), "out").when(k < to_low, "low").when(k < to_mid, "mid").when(k < to_mid + F.col("_high"), "high").otherwise("out"))
-    ranks = cut_lineage(ranks)
-    key = [*group, "_c"]
-    missed = ranks.filter("_side = 'out'").select(*group).distinct()
     middle = rows.filter(reduce(operator.or_, within)).select(*group, F.explode(F.array_compact(F.array(*[
         F.when(w, F.struct(F.lit(i).alias("_c"), F.col(v).alias("_v"))) for i, (v, w) in enumerate(zip(values, within))]))).alias("_x")).select(*group, "_x.*")
     middle = cut_lineage(middle)
-    span = middle.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_size"))
-    ranges = _null_safe(ranks.filter("_side = 'mid'").select(*key, "_k", to_low.alias("_base")), span, key, "inner").select(*key, "_k", "_base", "_lo", "_hi", "_size")
-    found = _selected(middle, ranges, key, gathered or GATHERED, buckets or BUCKETS)
-    found = found.unionByName(ranks.filter("_side IN ('low', 'high')").select(*key, "_k", F.when(F.col("_side") == "low", F.col("_a")).otherwise(F.col("_b")).alias("_at")))
-    # the lower of two ranks has the smaller value; one rank alone is both
-    place = F.lit(q) * (F.col("_n") - 1)
-    part_ = place - F.floor(place)
-    ends = found.groupBy(*key).agg(F.min("_at").alias("_l"), F.max("_at").alias("_h"))
-    line = _null_safe(ranks.select(*key, "_n").distinct(), ends, key, "inner").select(*group, "_c", F.when(part_ == 0, F.col("_l")).otherwise(F.col("_l") * (1 - part_) + F.col("_h") * part_).alias("_q"))
-    cells = line.groupBy(*group).agg(*[F.max(F.when(F.col("_c") == i, F.col("_q"))).alias(v) for i, v in enumerate(values)])
-    out = _null_safe(total.select(*group, "n"), cells, group).select(*group, "n", *values)
+    out, missed = ranked(total, middle, values, q, group, gathered=gathered, buckets=buckets)
     if missed.isEmpty():
         return out
     again = grouped_quantiles(_null_safe(df, F.broadcast(missed), group, "left_semi"), values, [q], group, gathered=gathered, buckets=buckets)
@@ -132,6 +117,49 @@ def guided_quantile(df: DataFrame, values, q: float, group, *, by, part: int = 6
     return _null_safe(out, missed, group, "left_anti").unionByName(again)
 
 
+def ranked(total: DataFrame, middle: DataFrame, values, q: float, group, *, gathered: int | None = None, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Quantiles (group, n, <value>) read off counts and the values inside the intervals, and the groups whose rank lies outside.
+
+    ``total`` has for each value its number _n<i>, the interval (_a<i>, _b<i>) and how many values lie below it, on its ends and inside
+    (_under<i>, _low<i>, _mid<i>, _high<i>); ``middle`` has those inside (group, _c, _v), _c being the value's place. The groups are few: the driver
+    finds the part of the counts that holds a rank.
+    """
+    spark, kinds = total.sparkSession, ", ".join(f"`{c}` {total.schema[c].dataType.simpleString()}" for c in group)
+    lines, wanted, known, missed = total.collect(), [], {}, []
+    for r in lines:
+        name, out = tuple(r[c] for c in group), False
+        for i in range(len(values)):
+            n, under, low, mid, high, a, b = (r[f"_{c}{i}"] for c in ("n", "under", "low", "mid", "high", "a", "b"))
+            place = q * (n - 1)
+            for k in {math.floor(place), math.ceil(place)} if n else ():
+                if under <= k < under + low:
+                    known[name, i, k] = a
+                elif under + low <= k < under + low + mid:
+                    wanted.append((*name, i, k, under + low, a, b, mid))
+                elif under + low + mid <= k < under + low + mid + high:
+                    known[name, i, k] = b
+                else:
+                    out = True
+        if out:
+            missed.append(name)
+    key = [*group, "_c"]
+    if wanted:
+        ranges = spark.createDataFrame(wanted, (f"{kinds}, " if kinds else "") + "_c int, _k long, _base long, _lo double, _hi double, _size long")
+        for r in _selected(middle, ranges, key, gathered or GATHERED, buckets or BUCKETS).collect():
+            known[tuple(r[c] for c in group), r["_c"], r["_k"]] = r["_at"]
+
+    def at(name, i, n):
+        if not n or name in missed:
+            return None
+        place = q * (n - 1)
+        low, part = math.floor(place), place - math.floor(place)
+        return known[name, i, low] if part == 0 else known[name, i, low] * (1 - part) + known[name, i, math.ceil(place)] * part
+
+    rows = [(*(name := tuple(r[c] for c in group)), r["n"], *[at(name, i, r[f"_n{i}"]) for i in range(len(values))]) for r in lines]
+    out = spark.createDataFrame(rows, (f"{kinds}, " if kinds else "") + ", ".join(["n long", *[f"`{v}` double" for v in values]]))
+    return out, total.select(*group).limit(0) if not missed else spark.createDataFrame(missed, kinds)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, key, how: str = "left") -> DataFrame:
     """Equality join in which null keys are equal."""
     r = right.select(*[F.col(c).alias(f"_r{c}") for c in key], *[c for c in right.columns if c not in key])

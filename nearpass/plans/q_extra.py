@@ -25,6 +25,10 @@ def samples(spark, d):
     return pb.error_samples(views.grid(spark, d), q_pairs.presence(spark, d))
 
 
+def model(spark, d):
+    return pb.error_model(pr.with_presence(views.grid(spark, d), RWY, q_pairs.WIDE["ceiling_ft"]))
+
+
 @query("q1_error_samples", statement(f"SELECT day, leg, t0, tau, phase, {r('e_along', 'e_cross', 'e_z')} FROM errs", "errs"))
 def q1(spark, d):
     return rounded(samples(spark, d))
@@ -43,11 +47,11 @@ cte("emodel", """SELECT phase, tau AS tau_s, count(*) AS n, CASE WHEN count(*) >
 
 @query("q2_error_model", statement(f"SELECT phase, tau_s, n, {r('sa AS sigma_along_nm', 'sc AS sigma_cross_nm', 'sz AS sigma_z_ft')} FROM emodel", "emodel"))
 def q2(spark, d):
-    return rounded(pb.fit_error_model(samples(spark, d)))
+    return rounded(model(spark, d))
 
 
 def curves(spark, d):
-    return cut_lineage(pb.sigma_curves(pb.fit_error_model(samples(spark, d))))
+    return cut_lineage(pb.sigma_curves(model(spark, d)))
 
 
 cte("emall", "SELECT 0.0::DOUBLE AS t, 25.0::DOUBLE AS sz UNION ALL SELECT tau_s, sz FROM emodel WHERE phase = 'all' AND sz IS NOT NULL", "emodel")

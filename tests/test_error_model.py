@@ -66,3 +66,41 @@ def test_error_model_stores_no_samples(spark, monkeypatch):
     monkeypatch.setattr(pb, "cut_lineage", cut)
     pb.fit_error_model(samples).collect()
     assert max(stored) < total / 10
+
+
+def _model(df):
+    return {(r.phase, r.tau_s): (r.n, r.sigma_along_nm, r.sigma_cross_nm, r.sigma_z_ft) for r in df.collect()}
+
+
+def test_error_model_of_states_equals_that_of_samples(spark, monkeypatch):
+    """Legs cut between two batches, seconds that occur twice, rows without a phase, missing values."""
+    monkeypatch.setattr(pb, "TOGETHER", 64)
+    monkeypatch.setattr(pb, "SAMPLED", 4)
+    rows, _ = _states(spark)
+    rows = [(*r[:4], None if i % 17 == 0 else r[4], *r[5:10], None if i % 5 == 0 else r[10]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, COLS)
+    want = _model(pb.fit_error_model(pb.error_samples(df, df.filter("phase is not null"))))
+    got = _model(pb.error_model(df))
+    assert got.keys() == want.keys() and len(got) == 4 * 18
+    for k, v in want.items():
+        assert got[k] == (v[0], *[x if x is None else pytest.approx(x, rel=1e-9) for x in v[1:]])
+
+
+def test_error_model_whose_sample_misleads(spark, monkeypatch):
+    """Intervals without the ranks: the samples are taken after all."""
+    _, df = _states(spark)
+    old, taken = pb.guides, []
+    monkeypatch.setattr(pb, "guides", lambda *a: old(*a).withColumns({f"_{e}{i}": F.lit(-1e9) for e in "ab" for i in range(3)}))
+    monkeypatch.setattr(pb, "fit_error_model", lambda samples, cfg: taken.append(samples) or samples)
+    assert pb.error_model(df, max_tau=20) is taken[0]
+
+
+def test_queries_make_no_row_per_sample(spark, monkeypatch):
+    """The error model of the queries reads the states in order of time, not a join with every later state."""
+    from nearpass.plans import q_extra
+
+    def joined(*a, **k):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr(pb, "error_samples", joined)
+    assert q_extra.q2(spark, "/root/testdata/sf0.001").count() > 0
