@@ -89,30 +89,41 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return left.hint("merge").join(right.hint("merge"), "sig").filter(near).select("a", "b")
 
 
+def _rooted(docs: DataFrame, text: str, doc_id: str, width: int, seed: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t, fp) of every document, t the hash of its text, and (fp, least, root) of every fingerprint."""
+    own = checkpointed(docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("t"), fingerprint_udf(width, seed)(F.col(f"`{text}`")).alias("fp")))
+    nodes = checkpointed(own.groupBy("fp").agg(F.min("id").alias("least")))
+    linked = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    return own, checkpointed(nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, seed: int = 42,
                        max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: its id, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable)."""
-    own = checkpointed(docs.select(F.col(f"`{doc_id}`").alias("id"), fingerprint_udf(width, seed)(F.col(f"`{text}`")).alias("fp")))
-    nodes = checkpointed(own.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
-    rooted = checkpointed(nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    own, rooted = _rooted(docs, text, doc_id, width, seed, max_bits)
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # a large component is one hot root: as a stage of its own the join can be split
     label = checkpointed(rooted.join(best, "root").select("fp", "component_id"))
     return own.join(label, "fp").select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The document with the smallest id of each component, with its columns; one row where an id is repeated.
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, seed: int = 42, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each component, with its columns: the one with the smallest id, or one without an id if none has one."""
+    own, rooted = _rooted(docs, text, doc_id, width, seed, max_bits)
+    first = own.groupBy("fp").agg(F.min(first_key()).alias("first")).join(rooted, "fp")
+    return keep_first(docs, first.groupBy("root").agg(F.min("first").alias("first")), text, doc_id)
+
 
-    Documents with a null id are kept only if no document of their component has an id, one of them in that case.
-    """
-    return keep_smallest(docs, simhash_components(docs, text, doc_id, **how), doc_id)
+def first_key() -> Column:
+    """Least for the document of a component that is kept: smallest id, then smallest hash of the text; those without an id come last."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "t")
 
 
-def keep_smallest(docs: DataFrame, label: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose id is the ``component_id`` that the label gives it, each id once."""
-    mine = unused(docs, "_id")
-    first = label.filter(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias(mine)).distinct()
-    kept = docs.join(first.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col(mine)), "left_semi")
-    return kept.dropDuplicates([doc_id])
+def keep_first(docs: DataFrame, first: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents with the id and text hash of some ``first``, each once. An id may repeat, or be null, with texts of several components."""
+    mine, own = unused(docs, "_id"), unused(docs, "_text_hash")
+    hashed = docs.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
+    there = unused(hashed, "_t")
+    chosen = first.select(F.col("first.id").alias(mine), F.col("first.t").alias(there))
+    kept = hashed.join(chosen.hint("merge"), F.col(f"`{doc_id}`").eqNullSafe(F.col(mine)) & (F.col(own) == F.col(there)), "left_semi")
+    return kept.dropDuplicates([doc_id, own]).drop(own)

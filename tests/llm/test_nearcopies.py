@@ -99,3 +99,16 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
     odd = df.select("*", *[F.lit(9).alias(c) for c in ("id", "t", "node", "n", "s", "band", "component_id")])
     assert {tuple(r) for r in nearcopies.near_components(odd).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_every_component_keeps_a_document(spark):
+    """Ids that are null or repeat do not make documents of different texts one."""
+    texts = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"}
+    near = texts["a"].replace("a29", "other")
+    rows = [(1, texts["a"]), (3, near), (3, texts["b"]), (3, texts["b"]), (5, texts["c"]), (5, texts["d"]), (None, texts["e"]), (None, texts["e"]), (None, texts["f"]), (7, texts["g"]), (None, texts["g"])]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, t int")
+    want = sorted([(1, texts["a"]), (3, texts["b"]), (5, texts["c"]), (5, texts["d"]), (None, texts["e"]), (None, texts["f"]), (7, texts["g"])], key=str)
+    got = corpus_pipeline.distinct_documents(spark, df, "")
+    assert got.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == want
+    apart = df.filter(df["text"] != near)
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(apart).collect()), key=str) == want
